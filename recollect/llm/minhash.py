@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -189,8 +189,10 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
     signed = settle(keyed.mapInArrow(signature_rows(config), "d long, t long, sig binary, bands array<long>"))
     reps = signed.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("d", "t")).alias("node"), F.first("bands").alias("bands"))
-    banded = reps.select(F.explode("bands").alias("key"), "node.d", "node.t", "sig")
-    found = banded.repartition("key").sortWithinPartitions("key", "d", "t").mapInArrow(bucket_edges(config), "ud long, ut long, vd long, vt long")
+    banded = reps.select(F.explode("bands").alias("key"), "node.d", "node.t")
+    met = banded.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1").select("key", "d", "t")
+    met = met.join(reps.select("node.d", "node.t", "sig"), ["d", "t"]).select("key", "d", "t", "sig")  # signatures travel for those only that met another
+    found = met.repartition("key").sortWithinPartitions("key", "d", "t").mapInArrow(bucket_edges(config), "ud long, ut long, vd long, vt long")
     roots = components(found.select(F.struct(F.col("ud").alias("d"), F.col("ut").alias("t")).alias("u"), F.struct(F.col("vd").alias("d"), F.col("vt").alias("t")).alias("v")))
     rows = signed.groupBy("d", "t", "sig").agg(F.count(F.lit(1)).alias("n_rows"))
     per_sig = rows.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("d", "t")).alias("node"), F.count(F.lit(1)).alias("n"))
