@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .textkit import U64, Words, binary, int_lists, longs, mix, range_hash, settle, slices, text_key
+from .textkit import U64, Words, binary, int_lists, longs, mix, range_hash, release, settle, slices, text_key
 
 LAST = (1 << 63) - 1
 
@@ -180,7 +180,7 @@ def long_runs(config: Repeats):
                 keep = np.cumsum(marks)[at] > 0
                 at, h = at[keep], h[keep]
                 doc = np.searchsorted(words.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(longs(rows, "d")[doc]), pa.array(longs(rows, "t")[doc]), pa.array((at - words.first[doc]).astype(np.int32))], names=["h", "d", "t", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(longs(rows, "d")[doc]), pa.array(longs(rows, "o")[doc].astype(np.int32)), pa.array((at - words.first[doc]).astype(np.int32))], names=["h", "d", "o", "p"])
 
     return run
 
@@ -189,17 +189,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
 
 
-def repeated_runs(docs: DataFrame, config: Repeats = Repeats()) -> DataFrame:
-    """Places (d, t, p) whose min_words words occurred before, with the first place (rd, rt, rp) of them."""
+def repeated_runs(docs: DataFrame, config: Repeats = Repeats()) -> tuple[DataFrame, DataFrame]:
+    """Places (d, o, p) whose min_words words occurred before, with the first place (rd, ro, rp) of them.
+
+    And the documents (d, o, t) that may have such places: o numbers the texts of one doc_id, nearly
+    always 0, so that the many rows of places needn't carry the text's hash.
+    """
     keyed = _keyed(docs)
     size = docs.select(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
     buckets = max(12, -(-size // (6 * config.bucket_windows)))
     probed = keyed.mapInArrow(probe_rows(config, buckets), "bucket int, slice long, hash binary, place binary, block binary")
     hits = probed.repartition(F.when(F.col("bucket") < 0, F.col("slice")).otherwise(F.col("bucket"))).sortWithinPartitions("bucket", "slice").mapInArrow(probe, "bucket int, slice long, hits binary")
-    found = settle(hits.repartition("slice").sortWithinPartitions("slice", "bucket").mapInArrow(hit_documents, "d long, t long, hits array<int>").dropDuplicates(["d", "t"]))
-    runs = keyed.join(found, ["d", "t"]).select("d", "t", "text", "hits").mapInArrow(long_runs(config), "h long, d long, t long, p int")
-    first = F.min(F.struct("d", "t", "p")).over(Window.partitionBy("h")).alias("first")
-    return runs.select("d", "t", "p", first).filter(F.col("first") != F.struct("d", "t", "p")).select("d", "t", "p", F.col("first.d").alias("rd"), F.col("first.t").alias("rt"), F.col("first.p").alias("rp"))
+    by_doc = hits.repartition("slice").sortWithinPartitions("slice", "bucket").mapInArrow(hit_documents, "d long, t long, hits array<int>").dropDuplicates(["d", "t"])
+    found = settle(by_doc.withColumn("o", F.row_number().over(Window.partitionBy("d").orderBy("t")) - 1))
+    del probed, hits, by_doc
+    release(docs.sparkSession)
+    runs = keyed.join(found, ["d", "t"]).select("d", "o", "text", "hits").mapInArrow(long_runs(config), "h long, d long, o int, p int")
+    first = F.min(F.struct("d", "o", "p")).over(Window.partitionBy("h")).alias("first")
+    again = runs.select("d", "o", "p", first).filter(F.col("first") != F.struct("d", "o", "p")).select("d", "o", "p", F.col("first.d").alias("rd"), F.col("first.o").alias("ro"), F.col("first.p").alias("rp"))
+    return again, found.select("d", "o", "t")
 
 
 def repeats(docs: DataFrame, config: Repeats = Repeats()) -> DataFrame:
@@ -211,13 +219,14 @@ def repeats(docs: DataFrame, config: Repeats = Repeats()) -> DataFrame:
     their references differ. Rows equal in doc_id and text are one document. Null, empty and shorter
     texts have no spans; an empty table gives none; columns but doc_id and text are ignored.
     """
-    runs = repeated_runs(docs, config).dropDuplicates(["d", "t", "p"])
-    order = Window.partitionBy("d", "t").orderBy("p")
-    here = F.struct("rd", "rt")
-    start = F.coalesce((F.col("p") != F.lag("p").over(order) + 1) | (here != F.lag(here).over(order)), F.lit(True))
-    spans = runs.withColumn("span", F.sum(start.cast("int")).over(order)).groupBy("d", "t", "span").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"), F.first("rd").alias("rd"), F.min("rp").alias("rp"))
+    runs, texts = repeated_runs(docs, config)
+    order = Window.partitionBy("d", "o").orderBy("p")
+    runs = runs.withColumn("before", F.lag("p").over(order)).filter("before is null or before <> p")  # of repeated rows, one
+    here = F.struct("rd", "ro")
+    start = F.coalesce((F.col("p") != F.col("before") + 1) | (here != F.lag(here).over(order)), F.lit(True))
+    spans = runs.withColumn("start", start.cast("int")).withColumn("span", F.sum("start").over(order)).groupBy("d", "o", "span").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"), F.first("rd").alias("rd"), F.min("rp").alias("rp"))
     doc = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return spans.select(doc("d").alias("doc_id"), F.col("p").cast("long").alias("start_word"), (F.col("n") + config.min_words - 1).alias("n_words"), doc("rd").alias("ref_doc_id"), F.col("rp").cast("long").alias("ref_start_word"), F.col("t").alias("text_hash"))
+    return spans.join(texts, ["d", "o"]).select(doc("d").alias("doc_id"), F.col("p").cast("long").alias("start_word"), (F.col("n") + config.min_words - 1).alias("n_words"), doc("rd").alias("ref_doc_id"), F.col("rp").cast("long").alias("ref_start_word"), F.col("t").alias("text_hash"))
 
 
 def cut_words(batches):

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..lineage import release, settle, shared_folder
+
 U64 = np.uint64
 SLICE_BYTES = 3_000_000
 
@@ -124,27 +126,4 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir.
-
-    One of our own is taken only on a local master; a cluster without the setting is an error, as data in
-    a machine-local folder would be lost.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder
-    if context.master.split("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir isn't set: name a folder that all executors share")
-    return "file:///tmp/recollect-checkpoints"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the shared folder, so a lost executor costs no recomputation before it."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-__all__ = ["Words", "binary", "int_lists", "longs", "mix", "powers", "range_hash", "settle", "shared_folder", "slices", "text_key"]
+__all__ = ["Words", "binary", "int_lists", "longs", "mix", "powers", "range_hash", "release", "settle", "shared_folder", "slices", "text_key"]
