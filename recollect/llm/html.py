@@ -251,8 +251,11 @@ def told(page: list[tuple]) -> np.ndarray | None:
 
 def train(pages: DataFrame, config: Labeller = Labeller()) -> Weights | None:
     """Weights from the sample; None where no page of it says where its main text is."""
-    marked = F.col("html").rlike(r"(?i)<(article|main)\b")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).filter(marked).orderBy(F.xxhash64("page_id"), "page_id", "html").limit(config.sample).collect()
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).filter(F.col("html").rlike(r"(?i)<(article|main)\b"))
+    keyed = own.withColumn("h", F.xxhash64("html"))
+    chosen = keyed.select("page_id", "h").distinct().orderBy(F.xxhash64("page_id"), "page_id", "h").limit(config.sample)  # keys first, so that only the chosen pages travel
+    rows = keyed.join(F.broadcast(chosen.select(F.col("page_id").alias("p"), F.col("h").alias("g"))), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("h") == F.col("g"))).select("page_id", "html").distinct().collect()  # at most `sample`
+    rows.sort(key=lambda r: (r["page_id"] is not None, r["page_id"] or 0, r["html"]))
     parsed = [blocks(r["html"]) for r in rows]
     known = [(p, y) for p in parsed if (y := told(p)) is not None]
     if not known:
