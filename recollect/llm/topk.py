@@ -38,13 +38,15 @@ def threshold_search(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarra
     n, width = items.shape
     order = np.argsort(items, axis=0, kind="stable")  # the lists, rising
     by_id = np.argsort(item_ids, kind="stable")
+    like = np.lexsort((query_ids, np.abs(queries).argmax(axis=1)))  # queries that lean on the same list go together
+    queries, query_ids = queries[like], query_ids[like]
     seen_total, out = 0, []
     for lo in range(0, len(queries), config.batch):
         q, own = queries[lo : lo + config.batch], query_ids[lo : lo + config.batch]
         live = np.arange(len(q))
         kept_s = np.full((len(q), config.k), -np.inf)
         kept_i = np.full((len(q), config.k), -1, np.int64)
-        fresh, depth, step = np.ones(n, bool), 0, max(64, n // 16)
+        fresh, depth, step = np.ones(n, bool), 0, max(32, n // 64)
         while len(live) and depth < n:
             step = max(step, depth)  # twice as deep each time
             to = min(n, depth + step)
@@ -65,7 +67,7 @@ def threshold_search(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarra
                 bound = np.where(q[live] > 0, q[live] * high, q[live] * low).sum(axis=1)
                 live = live[bound + 0.6 * 10.0**-config.digits >= kept_s[live, -1]]
         row, col = np.nonzero(kept_i >= 0)
-        out.append((row + lo, kept_i[row, col], kept_s[row, col]))
+        out.append((like[row + lo], kept_i[row, col], kept_s[row, col]))
     return *(np.concatenate(x) for x in zip(*out, strict=True)), seen_total
 
 
