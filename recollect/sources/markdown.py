@@ -48,7 +48,7 @@ def items(files: DataFrame, source: Column | None = None) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, folder, text) of markdown files, one row each."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{md,qmd}").option("recursiveFileLookup", True).text(path)
+    rows = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.{md,qmd}").option("recursiveFileLookup", True).load(path)
     return rows.select(F.col("_metadata.file_name").alias("file"), F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1).alias("folder"), F.col("value").alias("text"))
 
 
