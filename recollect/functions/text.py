@@ -33,10 +33,31 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"^[\s\x{a0}\x{feff}\p{Z}]+|[\s\x{a0}\x{feff}\p{Z}]+$", "")
 
 
+#: What is looked at first: most texts have their 30 tokens within so many letters.
+HEAD_CHARS, HEAD_TOKENS = 1000, 120
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _latin(c: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(c, r"[^A-Za-z0-9_\s]", " "), r"\s+"), lambda w: F.length(w) > 1)
+
+
+def _first_distinct(tokens: Column) -> Column:
+    """The first 30 distinct tokens. Telling distinct ones apart takes time with the square of their number, so few are tried first."""
+    few = lambda t: F.array_distinct(F.slice(t, 1, HEAD_TOKENS))
+    return let(tokens, lambda t: let(few(t), lambda d: F.slice(F.when(F.size(d) >= MOST_TOKENS, d).otherwise(F.array_distinct(t)), 1, MOST_TOKENS)))
+
+
 def tokenize(c: Column) -> Column:
-    """At most 30 distinct tokens: Latin words of two letters or more, then single and paired CJK letters."""
-    cleaned = F.regexp_replace(c, rf"[^A-Za-z0-9_{CJK}\s]", " ")
-    latin = F.filter(F.split(F.regexp_replace(cleaned, f"[{CJK}]", " "), r"\s+"), lambda w: F.length(w) > 1)
+    """At most 30 distinct tokens: Latin words of two letters or more, then single and paired CJK letters.
+
+    Latin words come first, so where the head of a text has 30 of them the rest cannot matter. The last
+    word of the head may be cut and isn't counted.
+    """
 
     def pieces(chunk: Column) -> Column:
         n = F.length(chunk)
@@ -44,9 +65,10 @@ def tokenize(c: Column) -> Column:
         two = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(chunk, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
         return F.concat(one, two)
 
-    cjk = F.flatten(F.transform(F.regexp_extract_all(cleaned, F.lit(f"[{CJK}]+"), 0), pieces))
-    kept = F.filter(F.array_distinct(F.concat(latin, cjk)), lambda w: ~w.isin(*STOPWORDS))
-    return F.slice(kept, 1, MOST_TOKENS)
+    cjk = F.filter(F.flatten(F.transform(F.regexp_extract_all(c, F.lit(f"[{CJK}]+"), 0), pieces)), lambda w: ~w.isin(*STOPWORDS))
+    whole = _first_distinct(F.concat(_latin(c), F.when(matches(c, f"[{CJK}]"), cjk).otherwise(F.array().cast("array<string>"))))
+    head = let(_latin(F.substring(c, 1, HEAD_CHARS)), lambda t: F.array_distinct(F.slice(t, 1, F.greatest(F.least(F.size(t) - 1, F.lit(HEAD_TOKENS)), F.lit(0)))))
+    return F.when(F.length(c) > HEAD_CHARS, let(head, lambda h: F.when(F.size(h) >= MOST_TOKENS, F.slice(h, 1, MOST_TOKENS)).otherwise(whole))).otherwise(whole)
 
 
 def terms(tokens: Column) -> Column:

@@ -14,8 +14,8 @@ K1, B = 1.2, 0.75
 
 def postings(memories: DataFrame) -> DataFrame:
     """(id, pos, term, dl): the index terms of each memory, from its first 30 distinct tokens."""
-    own = memories.select("id", text.terms(text.tokenize(F.col("content"))).alias("terms"))
-    return own.select("id", F.size("terms").alias("dl"), F.posexplode("terms").alias("pos", "term"))
+    own = text.let(text.terms(text.tokenize(F.col("content"))), lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("term"), F.size(t).alias("dl"))))  # tokenized once
+    return memories.select("id", F.explode(own).alias("e")).select("id", "e.dl", "e.pos", "e.term")
 
 
 def phrases(queries: DataFrame) -> DataFrame:
@@ -88,5 +88,5 @@ def like(memories: DataFrame, query: str, limit: int = 20, **conditions) -> Data
 
 
 def one_query(memories: DataFrame, query: str) -> DataFrame:
-    """A table of a single query."""
-    return memories.sparkSession.createDataFrame([(0, query)], "query_id long, query string")
+    """A table of a single query; its size is known to the planner, so that it is broadcast."""
+    return memories.sparkSession.range(1).select(F.col("id").alias("query_id"), F.lit(query).alias("query"))

@@ -72,7 +72,7 @@ def candidates(memories: DataFrame, near: DataFrame | None, at: Context) -> Data
     asked = {"query_rank": at.query.strip(), "task_rank": at.task.strip(), "recent_rank": " ".join(at.recent)}
     conditions = {"agent": at.agent, "min_vitality": at.min_vitality, "after": at.after, "before": at.before}
     names = list(asked)
-    queries = memories.sparkSession.createDataFrame([(i, asked[n]) for i, n in enumerate(names) if asked[n]] or [(-1, "")], "query_id long, query string")
+    queries = memories.sparkSession.range(len(names)).select(F.col("id").alias("query_id"), scores.lookup(F.col("id"), dict(enumerate(asked.values())), "").alias("query"))
     found = lexical.search(memories, queries, at.window, **conditions)
     ranks = [F.min(F.when(F.col("query_id") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)]
     branches = found.select("id", "query_id", "rank", F.lit(None).cast("double").alias("similarity"))
