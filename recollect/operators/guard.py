@@ -80,8 +80,8 @@ def candidates(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None
     for each text, among its agent's memories, and only then narrowed to its type. near: (seq, id,
     similarity) where vectors are at hand.
     """
-    asked = incoming.select(F.col("seq").alias("query_id"), F.col("content").alias("query"))
-    found = lexical.bm25_scores(memories, asked).join(incoming.select(F.col("seq").alias("query_id"), F.col("agent_id").alias("_agent")), "query_id").join(memories.select("id", F.col("agent_id").alias("_own")), "id").filter("_own = _agent")
+    asked = incoming.select(F.col("seq").alias("query_id"), F.col("content").alias("query"), "agent_id")
+    found = lexical.bm25_scores(memories, asked, "agent_id")
     words = lexical.ranked(found.select("query_id", "id", "score"), "score", max(8, limit))
     if near is None:
         recalled = lexical.weighted(memories, words, max(6, limit)).select(F.col("query_id").alias("seq"), "id", F.lit(None).cast("double").alias("similarity"))

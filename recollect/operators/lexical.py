@@ -12,17 +12,17 @@ from ..functions import scores, text
 K1, B = 1.2, 0.75
 
 
-def postings(memories: DataFrame) -> DataFrame:
+def postings(memories: DataFrame, *more: str) -> DataFrame:
     """(id, pos, term, dl): the index terms of each memory, from its first 30 distinct tokens."""
     own = text.let(text.terms(text.tokenize(F.col("content"))), lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("term"), F.size(t).alias("dl"))))  # tokenized once
-    return memories.select("id", F.explode(own).alias("e")).select("id", "e.dl", "e.pos", "e.term")
+    return memories.select("id", *more, F.explode(own).alias("e")).select("id", *more, "e.dl", "e.pos", "e.term")
 
 
-def phrases(queries: DataFrame) -> DataFrame:
-    """(query_id, phrase, offset, term, size): each token of a query is a phrase of one term or more."""
-    tokens = queries.select("query_id", F.posexplode(text.tokenize(F.col("query"))).alias("phrase", "token"))
-    own = tokens.select("query_id", "phrase", text.terms(F.array("token")).alias("terms"))
-    return own.select("query_id", "phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
+def phrases(queries: DataFrame, *more: str) -> DataFrame:
+    """(query_id, phrase, key, terms): each token of a query is a phrase of one term or more, key names it."""
+    tokens = queries.select("query_id", *more, F.posexplode(text.tokenize(F.col("query"))).alias("phrase", "token"))
+    own = tokens.select("query_id", *more, "phrase", text.terms(F.array("token")).alias("terms")).filter(F.size("terms") > 0)
+    return own.withColumn("key", F.array_join("terms", " "))
 
 
 def scope(memories: DataFrame, agent: str | None = None, min_vitality: float = 0.0, after: datetime | str | None = None, before: datetime | str | None = None, types: tuple[str, ...] | None = None, emotion_tag: str | None = None) -> DataFrame:
@@ -38,22 +38,26 @@ def scope(memories: DataFrame, agent: str | None = None, min_vitality: float = 0
     return memories
 
 
-def bm25_scores(memories: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(memories: DataFrame, queries: DataFrame, within: str | None = None) -> DataFrame:
     """(query_id, id, score) of all matches. Corpus statistics are over all memories given.
 
-    The index is filtered to the queries' terms before it is counted, so what is shuffled is matches.
+    What a memory gains by a phrase is worked out once for each distinct phrase, whatever the number of
+    queries; the index is narrowed to the queries' terms before. within: a column of both tables, as
+    agent_id; a query then meets the memories with its own value only.
     """
-    index, asked = postings(memories), phrases(queries)
+    own = [within] if within else []
+    asked = phrases(queries, *own)
+    unique = asked.select("key", "terms").distinct().select("key", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
     corpus = memories.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(text.terms(text.tokenize(F.col("content"))))).alias("total"))
-    found = index.join(asked, "term").groupBy("query_id", "phrase", "size", "id", "dl", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") == F.col("size"))
-    tf = found.groupBy("query_id", "phrase", "id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("query_id", "phrase").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(corpus))  # one row
+    found = postings(memories, *own).join(unique, "term").groupBy("key", "size", "id", *own, "dl", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") == F.col("size"))
+    tf = found.groupBy("key", "id", *own, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    joined = tf.join(df, "key").crossJoin(F.broadcast(corpus))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     length = F.col("dl") / (F.col("total") / F.col("n"))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length))
-    return joined.groupBy("query_id", "id").agg(F.round(F.sum(gain), 9).alias("score"))
+    return asked.select("query_id", "phrase", "key", *own).join(joined.select("key", *own, "id", gain.alias("gain")), ["key", *own]).groupBy("query_id", "id").agg(F.round(F.sum("gain"), 9).alias("score"))
 
 
 def ranked(scored: DataFrame, score: str, limit: int | None, *ties: Column) -> DataFrame:

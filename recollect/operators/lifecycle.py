@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..lineage import settle
 
 EPSILON, FADED = 0.001, 0.05
 #: (name, factor, least age in days, pattern) for events, then for knowledge; the first that matches counts.
@@ -82,20 +83,42 @@ def tidy(memories: DataFrame, now: datetime | str, threshold: float = FADED) ->
     return with_vitality(memories.join(faded(memories, threshold).select("id"), "id", "left_anti"), stale_decay(memories, now, threshold), now)
 
 
-def redundancy(memories: DataFrame) -> DataFrame:
-    """(id, redundancy): the largest share of tokens with another memory of the type.
+#: Rare tokens of a memory that look for a first partner.
+RAREST = 6
 
-    Pairs come from an inverted index of the tokens, 30 a memory at most, so none without a shared
-    token is looked at. Memories with equal token sets are collapsed first: there redundancy is 1.
+
+def redundancy(memories: DataFrame, by: tuple[str, ...] = ("type",)) -> DataFrame:
+    """(id, redundancy): the largest share of tokens with another memory of the same `by`.
+
+    Exact, without looking at all pairs. Tokens are ordered from rare to common. First, memories that
+    have a rare token in common are compared, which tells how much a better partner must share. Such a
+    partner must then have one of the memory's rarer tokens, all but the last ones that even together
+    couldn't make up for it; so the commonest tokens, which most memories have, are seldom joined on.
+    Memories with equal token sets are collapsed before: there redundancy is 1.
     """
-    tokens = memories.select("id", "type", F.sort_array(text.tokenize(F.col("content"))).alias("tokens"))
-    sets = tokens.groupBy("type", "tokens").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    index = sets.select("type", "rep", F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    other = index.select("type", "token", F.col("rep").alias("other"), F.col("size").alias("other_size"))
-    shared = index.join(other, ["type", "token"]).filter(F.col("rep") != F.col("other")).groupBy("rep", "size", "other", "other_size").agg(F.count(F.lit(1)).alias("shared"))
-    most = shared.groupBy("rep").agg(F.max(F.col("shared") / F.greatest("size", "other_size")).alias("most"))
-    own = sets.join(most, "rep", "left").select("type", "tokens", F.when((F.col("n") > 1) & (F.size("tokens") > 0), 1.0).otherwise(F.coalesce("most", F.lit(0.0))).alias("redundancy"))
-    return tokens.join(own, ["type", "tokens"]).select("id", "redundancy")
+    tokens = memories.select("id", *by, F.sort_array(text.tokenize(F.col("content"))).alias("tokens"))
+    sets = tokens.groupBy(*by, "tokens").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    index = settle(sets.select(*by, "rep", "tokens", F.explode("tokens").alias("token")))
+    df = index.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
+    order = Window.partitionBy("rep").orderBy("df", "token")
+    index = settle(index.join(df, [*by, "token"]).withColumn("r", F.row_number().over(order)).select(*by, "rep", "tokens", "token", "r"))
+    other = index.select(*by, "token", F.col("rep").alias("other"), F.col("tokens").alias("other_tokens"), F.col("r").alias("other_r"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """The largest overlap of each rep; token arrays have 30 entries at most."""
+        share = scores.overlap(F.col("tokens"), F.col("other_tokens"))
+        return pairs.filter(F.col("rep") != F.col("other")).select("rep", share.alias("share")).groupBy("rep").agg(F.max("share").alias("share"))
+
+    rare = index.filter(F.col("r") <= RAREST).join(other.filter(F.col("other_r") <= RAREST), [*by, "token"])
+    first = settle(best(rare).withColumnRenamed("share", "least"))
+    size = F.size("tokens")
+    needed = F.greatest(F.ceil(F.col("least") * size - 1e-9), F.lit(1))
+    probing = index.join(first, "rep", "left").withColumn("least", F.coalesce("least", F.lit(0.0))).filter(F.col("r") <= size - needed + 1)
+    fits = (F.least(size, F.size("other_tokens")) >= F.col("least") * F.greatest(size, F.size("other_tokens")) - 1e-9)
+    more = best(probing.join(other, [*by, "token"]).filter(fits))
+    most = first.unionByName(more.withColumnRenamed("share", "least")).groupBy("rep").agg(F.max("least").alias("most"))
+    own = sets.join(most, "rep", "left").select(*by, "tokens", F.when((F.col("n") > 1) & (size > 0), 1.0).otherwise(F.coalesce("most", F.lit(0.0))).alias("redundancy"))
+    return tokens.join(own, [*by, "tokens"]).select("id", "redundancy")
 
 
 def eviction(memories: DataFrame, penalties: DataFrame, now: datetime | str) -> DataFrame:
