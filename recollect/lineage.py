@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
     return "file:///tmp/recollect-checkpoints"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of one's own within the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder, so a lost executor costs no recomputation before it."""
     context = df.sparkSession.sparkContext

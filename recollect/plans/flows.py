@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..lineage import settle
+from ..lineage import discard, scratch, settle
 from ..operators import feedback, lifecycle, writing
 from ..schemas import TABLES
 from ..streaming import flows
@@ -26,13 +24,13 @@ def _streamed(spark, d, table):
 
 def _finished(stream, spark, name, mode="append"):
     """All rows of a stream, once it has read what there is; kept in memory, as suits a result that is shown."""
-    folder = tempfile.mkdtemp(prefix="recollect-stream-") if spark.sparkContext.master.startswith("local[") else f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    folder = scratch(spark)
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", folder).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-        shutil.rmtree(folder, ignore_errors=True)
+        discard(spark, folder)
     return spark.table(name)
 
 
@@ -96,7 +94,7 @@ def write_batch(spark, d):
 @R.add(f"WITH {write.ING} SELECT type, count(*) AS n FROM c WHERE content <> '' AND NOT regexp_matches(content, '(?i)heartbeat_ok|session_status') GROUP BY type")
 def stream_ingest(spark, d):
     """Markdown made of the pages, read as a stream and cut into items: (type, n)."""
-    folder = tempfile.mkdtemp(prefix="recollect-notes-")
+    folder = scratch(spark)
     files = write._files(spark, d)
     files.select("text", (F.col("file") % 8).alias("part")).write.mode("overwrite").partitionBy("part").text(f"{folder}/in", lineSep="\n")
     schema_rows = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(f"{folder}/in")
@@ -105,7 +103,7 @@ def stream_ingest(spark, d):
     found = []
     query = flows.ingest(stream, lambda items, n: found.extend(map(tuple, items.groupBy("type").count().collect())), f"{folder}/checkpoint-{name}", once=True)
     query.awaitTermination()
-    shutil.rmtree(folder, ignore_errors=True)
+    discard(spark, folder)
     total: dict[str, int] = {}
     for kind, n in found:
         total[kind] = total.get(kind, 0) + n
