@@ -148,7 +148,7 @@ def placed(ranked: DataFrame, *within: str) -> DataFrame:
 
 
 def evicted(memories: DataFrame, ranked: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
-    """(id, by): what the quotas drop, `type` first, then `total`, from scores made once before.
+    """(id, quota): what the quotas drop, `type` first, then `total`, from scores made once before.
 
     All rows count towards a quota, also those that can't be evicted.
     """
@@ -159,10 +159,10 @@ def evicted(memories: DataFrame, ranked: DataFrame, capacity: Capacity = Capacit
             limit = F.when(F.col("type") == kind, F.lit(most)).otherwise(limit)
     over = counts.withColumn("excess", F.col("n") - limit).filter("excess > 0").select("type", "excess")
     by_type = placed(ranked.join(F.broadcast(over), "type"), "type").filter("r <= excess")  # over: a row a type
-    first = by_type.select("id", F.lit("type").alias("by"))
+    first = by_type.select("id", F.lit("type").alias("quota"))
     left = ranked.join(first.select("id"), "id", "left_anti")
     remaining = memories.agg(F.count(F.lit(1)).alias("n")).crossJoin(first.agg(F.count(F.lit(1)).alias("gone"))).select((F.col("n") - F.col("gone") - capacity.total).alias("excess"))
-    second = placed(left).crossJoin(F.broadcast(remaining)).filter("r <= excess").select("id", F.lit("total").alias("by"))
+    second = placed(left).crossJoin(F.broadcast(remaining)).filter("r <= excess").select("id", F.lit("total").alias("quota"))
     return first.unionByName(second)
 
 

@@ -71,7 +71,7 @@ def reflect_orchestrate(spark, d):
 
     def govern(now):
         ranked = settle(lifecycle.eviction(state["mem"], feedback.penalty(v.feedback(spark, d)), now))
-        return {r["by"]: r["count"] for r in lifecycle.evicted(state["mem"], ranked).groupBy("by").count().collect()}
+        return {r["quota"]: r["count"] for r in lifecycle.evicted(state["mem"], ranked).groupBy("quota").count().collect()}
 
     told = lifecycle.reflect({"decay": decay, "tidy": tidy, "govern": govern}, v.NOW)
     return spark.createDataFrame([(phase, key, int(n)) for phase, result in told["results"].items() for key, n in result.items()], "phase string, kind string, n long")

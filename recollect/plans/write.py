@@ -199,7 +199,7 @@ def govern_type_quota(spark, d):
     return lifecycle.evicted(mem, ranked, lifecycle.Capacity(SMALLER, 10**9)).select("id")
 
 
-@R.add(f"WITH {v.MEM}, {EVI}, {QUOTA}, left_ AS (SELECT *, row_number() OVER (ORDER BY score DESC, priority, id) AS r FROM evi WHERE id NOT IN (SELECT id FROM first_)) SELECT id, 'type' AS by FROM first_ UNION ALL SELECT id, 'total' FROM left_ WHERE r <= (SELECT count(*) FROM mem) - (SELECT count(*) FROM first_) - 350")
+@R.add(f"WITH {v.MEM}, {EVI}, {QUOTA}, left_ AS (SELECT *, row_number() OVER (ORDER BY score DESC, priority, id) AS r FROM evi WHERE id NOT IN (SELECT id FROM first_)) SELECT id, 'type' AS quota FROM first_ UNION ALL SELECT id, 'total' FROM left_ WHERE r <= (SELECT count(*) FROM mem) - (SELECT count(*) FROM first_) - 350")
 def govern_global_cap(spark, d):
     mem, ranked = _evictable(spark, d)
     return lifecycle.evicted(mem, ranked, lifecycle.Capacity(SMALLER, 350))

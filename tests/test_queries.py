@@ -28,7 +28,7 @@ def norm(rows):
 def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
-    want = duck.sql(f"select {', '.join(columns)} from ({SQL[name]})")
+    want = duck.sql(f"select {', '.join(f'"{c}"' for c in columns)} from ({SQL[name]})")
     assert norm(map(tuple, df.select(columns).collect())) == norm(want.fetchall())
 
 

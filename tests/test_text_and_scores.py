@@ -258,7 +258,7 @@ def test_stale(value, content, kind, reason):
 def test_quotas(spark, mem):
     def gone(rows, capacity):
         none = spark.createDataFrame([], "memory_id string, penalty double")
-        return {r["id"]: r["by"] for r in lifecycle.evicted(rows, lifecycle.eviction(rows, none, "2024-02-01 00:00:00"), capacity).collect()}
+        return {r["id"]: r["quota"] for r in lifecycle.evicted(rows, lifecycle.eviction(rows, none, "2024-02-01 00:00:00"), capacity).collect()}
 
     rows = mem(*[memory(i, f"k{i} only") for i in range(6)], *[memory(10 + i, f"e{i} felt", "emotion") for i in range(2)])
     by_type = gone(rows, lifecycle.Capacity({"knowledge": 3}, 100))
