@@ -1,11 +1,11 @@
 """MinHash near-dedup with b-bit signatures.
 
 A document is the set of its runs of three words (ASCII case and punctuation ignored; a shorter text is
-one run). 128 minima are taken; groups of three make 42 band keys, while the signature keeps the low
-four bits of each minimum, 64 bytes in all. Documents that meet in a band are compared by their
+one run). 128 minima are taken; groups of three make 42 band keys, while the signature keeps four mixed
+bits of each minimum, 64 bytes in all. Documents that meet in a band are compared by their
 signatures: equal nibbles are counted and corrected for the one in sixteen that agree by chance.
 
-Equal signatures are collapsed first, so thousands of exact copies are one row from there on. In a band
+Rows equal in signature and in all bands are collapsed first, so thousands of exact copies are one row from there on. In a band
 bucket single linkage is exact: nothing is capped, and only a spanning forest leaves the bucket.
 """
 
@@ -49,7 +49,7 @@ class MinHash:
 
 
 def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit hashes of all runs of k words, and the first run of each document with words."""
+    """64-bit hashes of all runs of k words, and the first run of each document with words."""
     h, counts = words.hashes(FOLDED_HASH), words.counts
     full = h.copy()
     for i in range(1, k):
@@ -63,19 +63,18 @@ def shingle_hashes(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         full[words.first[doc]] = value[0]
     place = np.arange(len(h)) - np.repeat(words.first[:-1], counts)
     keep = place < np.repeat(n_runs, counts)
-    runs = (full[keep] >> U64(32)).astype(np.uint32)
-    return runs, np.concatenate([[0], np.cumsum(n_runs)])
+    return full[keep], np.concatenate([[0], np.cumsum(n_runs)])
 
 
 def minima(runs: np.ndarray, starts: np.ndarray, config: MinHash) -> np.ndarray:
     """hashes x documents matrix of the least value of each hash over each document's runs."""
     rng = np.random.default_rng(config.seed)
-    flips = rng.integers(0, 1 << 32, config.hashes, dtype=np.uint32)
-    factors = rng.integers(0, 1 << 31, config.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    out = np.empty((config.hashes, len(starts)), np.uint32)
+    flips = rng.integers(0, (1 << 64) - 1, config.hashes, dtype=U64, endpoint=True)
+    factors = rng.integers(0, 1 << 63, config.hashes, dtype=U64) * U64(2) + U64(1)
+    out = np.empty((config.hashes, len(starts)), U64)
     at = 0
     while at < len(starts):  # blocks that stay in the cache
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + 60_000)))
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + 30_000)))
         lo, hi = starts[at], starts[to] if to < len(starts) else len(runs)
         block, edges = runs[lo:hi], starts[at:to] - lo
         work = np.empty_like(block)
@@ -95,24 +94,25 @@ def signature_rows(config: MinHash):
                 counts = words.counts
                 has = np.flatnonzero(counts > 0)
                 n = len(counts)
-                sig, bands = np.zeros((n, config.hashes // 16), U64), np.zeros((n, config.bands), U64)
+                sig, bands, same = np.zeros((n, config.hashes // 16), U64), np.zeros((n, config.bands), U64), np.zeros(n, U64)
                 if len(has):
                     runs, first = shingle_hashes(words, config.shingle)
                     least = minima(runs, first[:-1][has], config)
-                    nibbles = (least & np.uint32(15)).astype(U64).reshape(config.hashes // 16, 16, -1)
+                    nibbles = (mix(least) >> U64(60)).reshape(config.hashes // 16, 16, -1)
                     sig[has] = np.bitwise_or.reduce(nibbles << (U64(4) * np.arange(16, dtype=U64))[None, :, None], axis=1).T
-                    grouped = least[: config.bands * config.band_rows].reshape(config.bands, config.band_rows, -1).astype(U64)
+                    grouped = least[: config.bands * config.band_rows].reshape(config.bands, config.band_rows, -1)
                     key = np.broadcast_to(mix(np.arange(1, config.bands + 1, dtype=U64))[:, None], grouped[:, 0].shape)
                     for r in range(config.band_rows):
                         key = mix(key * U64(0x9E3779B97F4A7C15) + grouped[:, r])
                     bands[has] = key.T
+                    same[has] = np.bitwise_xor.reduce(mix(key), axis=0)
                 width = config.hashes // 2
                 some = pa.array(counts == 0)
                 sigs = binary(sig, np.arange(n + 1) * width)
                 none = pa.nulls(n, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pc.if_else(some, none, sigs), int_lists(bands.reshape(-1).view(np.int64), np.arange(n + 1) * config.bands, pa.int64())],
-                    names=["d", "t", "sig", "bands"],
+                    [rows.column(0), rows.column(1), pc.if_else(some, none, sigs), int_lists(bands.reshape(-1).view(np.int64), np.arange(n + 1) * config.bands, pa.int64()), pa.array(same.view(np.int64))],
+                    names=["d", "t", "sig", "bands", "same"],
                 )
 
     return run
@@ -187,22 +187,22 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
     stays null. An empty table gives an empty result; columns but doc_id and text are ignored.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
-    signed = settle(keyed.mapInArrow(signature_rows(config), "d long, t long, sig binary, bands array<long>"))
-    reps = signed.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("d", "t")).alias("node"), F.first("bands").alias("bands"))
+    signed = settle(keyed.mapInArrow(signature_rows(config), "d long, t long, sig binary, bands array<long>, same long"))
+    reps = signed.filter("sig is not null").groupBy("sig", "same").agg(F.min(F.struct("d", "t")).alias("node"), F.first("bands").alias("bands"))
     banded = reps.select(F.explode("bands").alias("key"), "node.d", "node.t")
     met = banded.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1").select("key", "d", "t")
     met = met.join(reps.select("node.d", "node.t", "sig"), ["d", "t"]).select("key", "d", "t", "sig")  # signatures travel for those only that met another
     found = met.repartition("key").sortWithinPartitions("key", "d", "t").mapInArrow(bucket_edges(config), "ud long, ut long, vd long, vt long")
     roots = components(found.select(F.struct(F.col("ud").alias("d"), F.col("ut").alias("t")).alias("u"), F.struct(F.col("vd").alias("d"), F.col("vt").alias("t")).alias("v")))
-    rows = signed.groupBy("d", "t", "sig").agg(F.count(F.lit(1)).alias("n_rows"))
-    per_sig = rows.filter("sig is not null").groupBy("sig").agg(F.min(F.struct("d", "t")).alias("node"), F.count(F.lit(1)).alias("n"))
-    per_sig = per_sig.join(roots, "node", "left").select("sig", "n", F.coalesce("root", "node").alias("root"))
+    rows = signed.groupBy("d", "t", "sig", "same").agg(F.count(F.lit(1)).alias("n_rows"))
+    per_sig = rows.filter("sig is not null").groupBy("sig", "same").agg(F.min(F.struct("d", "t")).alias("node"), F.count(F.lit(1)).alias("n"))
+    per_sig = per_sig.join(roots, "node", "left").select("sig", "same", "n", F.coalesce("root", "node").alias("root"))
     sizes = per_sig.groupBy("root").agg(F.sum("n").alias("group_size"))
-    per_sig = per_sig.join(sizes, "root").select("sig", "root", "group_size")
+    per_sig = per_sig.join(sizes, "root").select("sig", "same", "root", "group_size")
     own = F.struct("d", "t")
     root = F.coalesce(F.col("root"), own)
     doc = lambda c: F.when(c != LAST, c)
-    return rows.join(per_sig, "sig", "left").select(
+    return rows.join(per_sig, ["sig", "same"], "left").select(
         doc(F.col("d")).alias("doc_id"), doc(root["d"]).alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (root == own).alias("keep"), "n_rows", F.col("t").alias("text_hash")
     )
 

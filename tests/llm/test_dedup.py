@@ -104,6 +104,16 @@ def test_minhash_table(table, rows_of):
     assert minhash.near_duplicates(table([])).count() == 0 == minhash.keep_one(table([])).count()
 
 
+def test_short_texts_that_differ_stay_apart(table):
+    w = words(77, 1200)
+    texts = w[:200] + [" ".join(w[200 + 2 * i : 202 + 2 * i]) for i in range(200)] + [" ".join(w[600 + 3 * i : 603 + 3 * i]) for i in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.upper() + "!") for i, t in enumerate(texts[::50])]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(table(rows)).collect()}
+    assert all(got[i]["keep"] and got[i]["group_size"] == 1 + (i % 50 == 0) for i in range(600))
+    assert all(got[1000 + i]["group_id"] == 50 * i for i in range(12))
+    assert minhash.keep_one(table(rows)).count() == 600
+
+
 def brute_repeats(rows, least):
     docs = sorted({(i is None, i or 0, t or "") for i, t in rows})
     first, spans = {}, []
