@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 One Aho-Corasick pass finds anchors: at-signs, schemes, pairs of digits (alone or around a dot, as every
-account, telephone number and numeric address has them) and cue words of credentials. At each anchor a
+account, telephone number and numeric address has them) and cue words of credentials and of identifiers
+such as accounts and passports. At each anchor a
 small parser looks at its surroundings only, expands to the boundaries and validates.
 """
 
@@ -16,6 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CUES = ("token", "secret", "password", "passwd", "passphrase", "api_key", "api-key", "apikey", "access_key", "private_key", "authorization", "bearer")
+#: Words that an identifier of any length follows, and the kind of it.
+IDENTIFIERS = {
+    **dict.fromkeys(("account", "acct", "a/c", "routing", "sort code", "passport", "national id", "tax id", "driver license", "driver's license", "driving licence", "license number", "licence number", "customer number", "customer id", "member id", "policy number"), "account"),
+    **dict.fromkeys(("ssn", "social security"), "ssn"),
+}
 PREFIXES = ("AKIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk-", "sk_live_", "glpat-")
 #: From strongest to weakest; where finds overlap, the longer one counts, then the stronger.
 KINDS = ("secret", "email", "url", "iban", "card", "account", "ssn", "phone", "ip")
@@ -26,12 +32,15 @@ SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
 VALUE = re.compile(r"[A-Za-z_-]{0,12}[\"']?\s{0,3}(?:[:=]|=>|is)?\s{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,})")
 TAIL = re.compile(r"[A-Za-z0-9_-]{10,}")
+#: From the end of an identifier cue to its value: words for number, a sign, a quote.
+LINK = re.compile(r"s?(?:[\s_-]{0,3}(?:numbers?|num|nr|no|id|code|ref(?:erence)?)(?![a-z])\.?){0,2}[\"']?\s{0,3}(?:#|[:=]>?|is(?![a-z])|was(?![a-z])|-)?\s{0,3}#?[\"'(]?", re.I)
+IDENTIFIER = re.compile(r"(?:(?<![A-Za-z])|(?=\d))(?!\d{4}-\d\d-\d\d(?!\d))(?:[A-Z]{1,4}[ -])?(?=[A-Za-z]*\d)[A-Za-z0-9]+(?:(?:[./-]| (?=\w{2}))(?=[A-Za-z]*\d)[A-Za-z0-9]+){0,9}(?![\w])")
 NUMBERS = (
     ("secret", re.compile(r"(?<![\w])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?!\w)")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("card", re.compile(r"(?<![\w.])(?:\d{13,19}|\d{4}(?:([ -])\d{4}){3}(?:\1\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\+\d[ .-])\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|(?<=\+\d\d[ .-])\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)")),
+    ("phone", re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|(?<=\+\d[ .-])\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|(?<=\+\d\d[ .-])\d{2,4}[ .-]\d{3,4}[ .-]?\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)")),
     ("phone", re.compile(r"(?<![\w+])\+\d{8,15}(?!\w)")),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")),
 )
@@ -70,6 +79,8 @@ def anchors():
     a.add_word("://", ("url", 3))
     for cue in CUES:
         a.add_word(cue, ("cue", len(cue)))
+    for cue in IDENTIFIERS:
+        a.add_word(cue, ("identifier", len(cue)))
     for prefix in PREFIXES:
         a.add_word(prefix.lower(), ("prefix", len(prefix)))
     a.make_automaton()
@@ -123,6 +134,16 @@ def secret_after(text: str, end: int):
     return (m.start(1), m.start(1) + len(value), "secret") if len(value) >= 8 and (digits >= 2 and digits < len(value)) else None
 
 
+def identifier_after(text: str, start: int, end: int):
+    """The account or the like that follows the cue text[start:end]: at least five letters and digits, four of them digits."""
+    if start and text[start - 1].isalnum():
+        return None
+    m = IDENTIFIER.match(text, LINK.match(text, end).end())
+    if not m or sum(c.isalnum() for c in m[0]) < 5 or sum(c.isdigit() for c in m[0]) < 4:
+        return None
+    return m.start(), m.end(), IDENTIFIERS[text[start:end].lower()]
+
+
 def secret_at(text: str, start: int, end: int):
     """The key that begins with a known prefix."""
     if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
@@ -171,7 +192,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
             found += numbers_in(text, lo, hi)
             seen = hi
         else:
-            one = email_at(text, start) if kind == "email" else url_at(text, start) if kind == "url" else secret_after(text, end + 1) if kind == "cue" else secret_at(text, start, end + 1)
+            one = email_at(text, start) if kind == "email" else url_at(text, start) if kind == "url" else secret_after(text, end + 1) if kind == "cue" else identifier_after(text, start, end + 1) if kind == "identifier" else secret_at(text, start, end + 1)
             if one:
                 found.append(one)
     out: list[tuple[int, int, str]] = []

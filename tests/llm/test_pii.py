@@ -35,6 +35,28 @@ def test_finds(text, kinds):
         assert not found
 
 
+@pytest.mark.parametrize(("text", "kind", "value"), [
+    ("Account number: 123456789.", "account", "123456789"),
+    ("acct no. 12345 is closed", "account", "12345"),
+    ('{"account_number": "1234567890"}', "account", "1234567890"),
+    ("Accounts #12-3456-789", "account", "12-3456-789"),
+    ("sort code 12-34-56, ABA routing number 021000021", "account", "021000021"),
+    ("her passport C01X00T47 and", "account", "C01X00T47"),
+    ("Passport No: X 1234567", "account", "X 1234567"),
+    ("my account is 1234 5678 90", "account", "1234 5678 90"),
+    ("SSN 078051120", "ssn", "078051120"),
+    ("account DE89 3704 0044 0532 0130 00 paid", "iban", "DE89 3704 0044 0532 0130 00"),
+    ("account: user12345@x.de", "email", "user12345@x.de"),
+    ("call 743 555 3824 now", "phone", "743 555 3824"),
+])
+def test_finds_identifiers_after_cues_and_spaced_telephones(text, kind, value):
+    assert (kind, value) in {(k, text[a:b]) for a, b, k in pii.find(text)}
+
+
+def test_cues_without_an_identifier():
+    assert not pii.find("on account of 10000 men, an accountant 24680 wrote; account: 2024-01-05; passport control 12, account 42, accounting2024x")
+
+
 def test_anchors_miss_nothing_that_a_full_scan_finds():
     """The parsers at every place of the text, without anchors, over all documents."""
     for (text,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall():
