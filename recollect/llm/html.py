@@ -12,6 +12,7 @@ words, lengths and neighbours.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, fields
 from html import unescape
 
@@ -26,7 +27,14 @@ INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i ins
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that end where one of the same kind begins.
 LOOSE = frozenset("p li dt dd tr td th option".split())
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+#: What goes to its end tag or to the end of the page; a tag that closes itself holds nothing.
+SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(script|style)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+#: What is left out only where it has an end tag.
+HIDDEN = re.compile(r"<(/?)(noscript|template|svg)(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I)
+HEAD = re.compile(r"<head(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.I)
+#: Tags that can stand in the head; it ends at any other, and at text that isn't the title's.
+IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
+TITLE_END = re.compile(r"</title\s*>", re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
 NAME = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([\w -]+)", re.I)
 BLANKS = re.compile(r"\s+")
@@ -52,9 +60,64 @@ class Labeller:
         return self.path_size + self.word_size + 4
 
 
+def shown(html: str) -> str:
+    """The page without what isn't shown: comments, scripts, styles, the head and hidden elements."""
+    html = SKIPPED.sub(" ", html)
+    gaps: list[tuple[int, int]] = []
+    still_open: list[tuple[str, int, int]] = []
+    count: Counter[str] = Counter()
+    for m in HIDDEN.finditer(html):
+        kind = m[2].lower()
+        if not m[1] and not m[3].endswith("/"):
+            still_open.append((kind, m.start(), m.end()))
+            count[kind] += 1
+            continue
+        start = m.start()
+        if m[1] and count[kind]:
+            name = None
+            while name != kind:  # with what is still open in it
+                name, start, _ = still_open.pop()
+                count[name] -= 1
+            while gaps and gaps[-1][0] > start:
+                gaps.pop()
+        gaps.append((start, m.end()))
+    html = without(html, sorted(gaps + [(start, end) for _, start, end in still_open]))
+    gaps, m = [], HEAD.search(html)
+    titled = max((t.start() for t in TITLE_END.finditer(html)), default=-1) if m else -1
+    while m:
+        end = head_end(html, m.end(), titled)
+        gaps.append((m.start(), end))
+        m = HEAD.search(html, end)
+    return without(html, gaps)
+
+
+def without(html: str, gaps: list[tuple[int, int]]) -> str:
+    parts, at = [], 0
+    for start, end in gaps:
+        parts += [html[at:start], " "]
+        at = end
+    return "".join([*parts, html[at:]])
+
+
+def head_end(html: str, at: int, titled: int) -> int:
+    """Where the head that begins before `at` ends, with or without an end tag; `titled` is the last end of a title."""
+    while m := TAG.search(html, at):
+        tag = m[2].lower()
+        if html[at : m.start()].strip() or tag not in IN_HEAD and (not m[1] or tag == "body"):
+            return at if html[at : m.start()].strip() else m.start()
+        at = m.end()
+        if m[1] and tag in ("head", "html"):
+            return at
+        if tag == "title" and not m[1] and not m[3].endswith("/"):
+            close = TITLE_END.search(html, at) if at <= titled else None
+            after = html.find("<", at)
+            at = close.end() if close else after if after >= 0 else len(html)
+    return at if html[at:].strip() else len(html)
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
     """(tag path, text, share of it in links) of each block with text, in order."""
-    html = SKIPPED.sub(" ", html)
+    html = shown(html)
     out, path, text, linked = [], [], [], 0
     link, at = 0, 0
 

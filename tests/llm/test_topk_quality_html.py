@@ -166,6 +166,25 @@ def test_blocks(source, want):
     assert [b[:2] for b in html.blocks(source)] == want
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<head><title>a</title><body><article>b</article>", ["b"]),
+    ("<html><head><meta charset=x><title>a <i> b</title><link rel=y><p>b<p>c", ["b", "c"]),
+    ("<head><title>a</title>\n<style>s</style></head><p>b", ["b"]),
+    ("<head/><p>b", ["b"]),
+    ("<head><title>a</title> b", ["b"]),
+    ("<header>a</header><p>b", ["a", "b"]),
+    ("<p>a</p><svg/><p>rest", ["a", "rest"]),
+    ("<p>a</p><svg viewBox='0 > 1'/><p>b</p><svg><text>no</text></svg><p>c", ["a", "b", "c"]),
+    ("<p>a</p><svg><svg>no</svg>no</svg><template>no<svg></template><p>b", ["a", "b"]),
+    ("<p>a</p><template><p>b</p><noscript><p>c", ["a", "b", "c"]),
+    ("<p>a</p><svg><p>b</p><svg>no</svg><p>c", ["a", "b", "c"]),
+    ("<p>a</p><script src='x'/><p>b</p><script>no", ["a", "b"]),
+    ("<p>a<!-- no", ["a"]),
+])
+def test_what_has_no_end_tag_does_not_take_the_page(source, want):
+    assert [b[1] for b in html.blocks(source)] == want
+
+
 def test_html_table(spark, pages):
     rows = [(i, p) for i, p in enumerate(pages[:40])] + [(100, None), (101, ""), (None, pages[0]), (0, pages[0]), (102, "plain"), (103, "<p>" + "long text. " * 100_000)]
     df = spark.createDataFrame([(i, "u", h, "z") for i, h in rows], "page_id long, url string, html string, text string")
