@@ -34,10 +34,11 @@ class TopK:
 
 
 def threshold_search(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, config: TopK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query place, item place, score) of each query's best k by score, then id, without its own id; and items scored."""
+    """(query place, item place, score) of each query's best k ids by score, then id, without its own id; and items scored."""
     n, width = items.shape
     order = np.argsort(items, axis=0, kind="stable")  # the lists, rising
     by_id = np.argsort(item_ids, kind="stable")
+    shared = len(np.unique(item_ids)) < n
     like = np.lexsort((query_ids, np.abs(queries).argmax(axis=1)))  # queries that lean on the same list go together
     queries, query_ids = queries[like], query_ids[like]
     seen_total, out = 0, []
@@ -61,7 +62,7 @@ def threshold_search(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarra
                 score = np.round(q[live] @ items[new].T, config.digits)
                 score[item_ids[new][None, :] == own[live, None]] = -np.inf
                 seen_total += score.size
-                kept_s[live], kept_i[live] = best(kept_s[live], kept_i[live], score, new, item_ids, config.k)
+                kept_s[live], kept_i[live] = best(kept_s[live], kept_i[live], score, new, item_ids, config.k, shared)
             if depth < n:
                 high, low = items[order[n - 1 - depth], np.arange(width)], items[order[depth], np.arange(width)]
                 bound = np.where(q[live] > 0, q[live] * high, q[live] * low).sum(axis=1)
@@ -71,21 +72,36 @@ def threshold_search(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarra
     return *(np.concatenate(x) for x in zip(*out, strict=True)), seen_total
 
 
-def best(kept_s, kept_i, score, new, ids, k):
-    """The best k of those kept and those new, by score from the highest, then by id."""
+def best(kept_s, kept_i, score, new, ids, k, shared=False):
+    """The best k ids of those kept and those new, each by its best row, by score from the highest, then by id.
+
+    new is in order of id; where `shared`, several rows may have the same.
+    """
+    if shared:
+        starts = np.flatnonzero(np.concatenate([[True], ids[new][1:] != ids[new][:-1]]))
+        top = np.maximum.reduceat(score, starts, axis=1)
+        sizes = np.diff(np.concatenate([starts, [len(new)]]))
+        at = np.where(score == np.repeat(top, sizes, axis=1), np.arange(len(new)), len(new))
+        score, new = top, new[np.minimum.reduceat(at, starts, axis=1)]
+    else:
+        new = np.broadcast_to(new, score.shape)
     if score.shape[1] > k:  # all above the kth, and those that tie with it in order of id
         kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
         above = score > kth[:, None]
         tie = score == kth[:, None]
         pick = above | tie & (np.cumsum(tie, axis=1) <= k - above.sum(axis=1, keepdims=True))
         at = np.nonzero(pick)[1].reshape(len(score), k)
-        score, place = np.take_along_axis(score, at, 1), new[at]
-    else:
-        place = np.broadcast_to(new, score.shape)
+        score, new = np.take_along_axis(score, at, 1), np.take_along_axis(new, at, 1)
     s = np.concatenate([kept_s, score], axis=1)
-    i = np.concatenate([kept_i, np.where(np.isneginf(score), -1, place)], axis=1)
+    i = np.concatenate([kept_i, np.where(np.isneginf(score), -1, new)], axis=1)
     name = np.where(i >= 0, ids[i], LAST)
-    at = np.lexsort((name, -s), axis=1)[:, :k]
+    at = np.lexsort((name, -s), axis=1)
+    if shared:  # an id that was kept and is met again counts once
+        s, i, name = (np.take_along_axis(x, at, 1) for x in (s, i, name))
+        again = ((name[:, :, None] == name[:, None, :]) & (i >= 0)[:, None, :] & np.tri(s.shape[1], k=-1, dtype=bool)).any(axis=2)
+        s, i = np.where(again, -np.inf, s), np.where(again, -1, i)
+        at = np.argsort(again, axis=1, kind="stable")
+    at = at[:, :k]
     return np.take_along_axis(s, at, 1), np.take_along_axis(i, at, 1)
 
 

@@ -51,6 +51,30 @@ def test_topk_table(spark):
     assert topk.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [32_768, 60])
+def test_topk_counts_an_id_once(spark, block):
+    """Many rows of one id near a query leave places for the other ids."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((200, 6))
+    x[:60] = x[100] + 0.01 * rng.standard_normal((60, 6))
+    ids = [None] * 30 + [500] * 30 + [i // 2 for i in range(140)]
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.nearest(df, TopK(k=7, block=block, batch=32)).collect():
+        got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbor_id"], r["score"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round(unit @ unit.T, 6)
+    for own in set(ids):
+        best = {}
+        for a in (i for i, v in enumerate(ids) if v == own):
+            for b, other in enumerate(ids):
+                if other != own:
+                    best[other] = max(best.get(other, -2), score[a, b])
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0] is None, p[0] or 0))[:7]
+        assert [g[1] for g in sorted(got[own])] == [w[0] for w in want]
+        assert np.allclose([g[2] for g in sorted(got[own])], [w[1] for w in want], atol=1e-9)
+
+
 @pytest.fixture(scope="module")
 def labelled():
     d = "/root/testdata/sf0.1"
