@@ -3,8 +3,10 @@
 Within a block of vectors each dimension has a list of the vectors sorted by it. A query reads all lists
 from its better end at the same pace; vectors met are scored in full, and no unseen one can score more
 than the sum of what the lists offer next. A query stops when that bound cannot beat its kth result.
-Queries go through the lists in batches, so that scoring is one matrix product for all of a batch; if
-the bound never helps, every vector is scored once, as a full search would.
+
+The bound at a depth depends on the lists alone, and no cosine is above 1. So it is known beforehand how
+deep a query must read at least; a query that would read as many entries as there are vectors is scored
+against all of them at once, in a matrix product with others like it.
 
 Vectors and queries meet in a grid of blocks; what a block finds is merged by query.
 """
@@ -25,51 +27,66 @@ from .vectors import LAST, matrix, vectors
 @dataclass(frozen=True)
 class TopK:
     k: int = 10
+    #: Vectors whose id this divides are the queries; 1 makes a query of every vector.
+    every: int = 20
     #: Vectors of one block, about.
     block: int = 32_768
-    #: Queries that go through the lists together.
-    batch: int = 256
+    #: Queries of one matrix product.
+    batch: int = 64
     #: Scores are rounded to so many digits, and ties broken by id.
     digits: int = 6
 
 
 def threshold_search(items: np.ndarray, item_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, config: TopK) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query place, item place, score) of each query's best k ids by score, then id, without its own id; and items scored."""
+    """(query place, item place, score) of each query's best k ids by score, then id, without its own id; and items scored.
+
+    Rows of items and queries have unit length.
+    """
     n, width = items.shape
-    order = np.argsort(items, axis=0, kind="stable")  # the lists, rising
     by_id = np.argsort(item_ids, kind="stable")
-    shared = len(np.unique(item_ids)) < n
-    like = np.lexsort((query_ids, np.abs(queries).argmax(axis=1)))  # queries that lean on the same list go together
-    queries, query_ids = queries[like], query_ids[like]
+    items, ids = items[by_id], item_ids[by_id]  # in order of id, so that ties are broken by place
+    shared = bool((ids[1:] == ids[:-1]).any())
+    order = np.argsort(items, axis=0, kind="stable")  # the lists, rising
+    dims, slack = np.arange(width), 0.6 * 10.0**-config.digits
+    depths = np.unique(np.minimum(n, max(16, n // 512) * 2 ** np.arange(1 + int(n).bit_length())))
+    high, low = (np.stack([items[order[at(d)], dims] for d in depths[:-1]]) if len(depths) > 1 else np.zeros((0, width)) for at in (lambda d: n - 1 - d, lambda d: d))
+    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+    bounds = np.concatenate([up @ high.T + down @ low.T, np.full((len(queries), 1), -np.inf)], axis=1)  # of what lies below each depth
+    least = depths[(bounds <= 1 + slack).argmax(axis=1)]
+    whole = least * (queries != 0).sum(axis=1) >= n
     seen_total, out = 0, []
-    for lo in range(0, len(queries), config.batch):
-        q, own = queries[lo : lo + config.batch], query_ids[lo : lo + config.batch]
-        live = np.arange(len(q))
-        kept_s = np.full((len(q), config.k), -np.inf)
-        kept_i = np.full((len(q), config.k), -1, np.int64)
-        fresh, depth, step = np.ones(n, bool), 0, max(32, n // 64)
-        while len(live) and depth < n:
-            step = max(step, depth)  # twice as deep each time
-            to = min(n, depth + step)
-            some = np.zeros(n, bool)
-            up, down = (q[live] > 0).any(axis=0), (q[live] < 0).any(axis=0)
-            some[order[n - to : n - depth, up].ravel()] = True
-            some[order[depth:to, down].ravel()] = True
-            new = by_id[(some & fresh)[by_id]]  # in order of id, so that a stable sort breaks ties by it
-            fresh[new] = False
-            depth = to
+
+    def told(rows, s, i):
+        r, c = np.nonzero(i >= 0)
+        out.append((rows[r], by_id[i[r, c]], s[r, c]))
+
+    def scored(rows, new, s, i):
+        score = np.round(queries[rows] @ (items.T if len(new) == n else items[new].T), config.digits)
+        score[ids[new][None, :] == query_ids[rows][:, None]] = -np.inf
+        return best(s, i, score, new, ids, config.k, shared)
+
+    empty = lambda m: (np.full((m, config.k), -np.inf), np.full((m, config.k), -1, np.int64))
+    full = np.flatnonzero(whole)
+    for at in range(0, len(full), config.batch):
+        rows = full[at : at + config.batch]
+        seen_total += len(rows) * n
+        told(rows, *scored(rows, np.arange(n), *empty(len(rows))))
+    for q in np.flatnonzero(~whole):
+        rows, (s, i), fresh, depth = np.array([q]), empty(1), np.ones(n, bool), 0
+        rising, falling = np.flatnonzero(queries[q] > 0), np.flatnonzero(queries[q] < 0)
+        for to, bound in zip(depths, bounds[q], strict=True):
+            met = np.zeros(n, bool)
+            met[order[n - to : n - depth, rising].ravel()] = True
+            met[order[depth:to, falling].ravel()] = True
+            new = np.flatnonzero(met & fresh)
+            fresh[new], depth = False, to
             if len(new):
-                score = np.round(q[live] @ items[new].T, config.digits)
-                score[item_ids[new][None, :] == own[live, None]] = -np.inf
-                seen_total += score.size
-                kept_s[live], kept_i[live] = best(kept_s[live], kept_i[live], score, new, item_ids, config.k, shared)
-            if depth < n:
-                high, low = items[order[n - 1 - depth], np.arange(width)], items[order[depth], np.arange(width)]
-                bound = np.where(q[live] > 0, q[live] * high, q[live] * low).sum(axis=1)
-                live = live[bound + 0.6 * 10.0**-config.digits >= kept_s[live, -1]]
-        row, col = np.nonzero(kept_i >= 0)
-        out.append((like[row + lo], kept_i[row, col], kept_s[row, col]))
-    return *(np.concatenate(x) for x in zip(*out, strict=True)), seen_total
+                seen_total += len(new)
+                s, i = scored(rows, new, s, i)
+            if bound + slack < s[0, -1]:
+                break
+        told(rows, s, i)
+    return *(np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ()))), seen_total
 
 
 def best(kept_s, kept_i, score, new, ids, k, shared=False):
@@ -106,20 +123,24 @@ def best(kept_s, kept_i, score, new, ids, k, shared=False):
 
 
 def nearest(table: DataFrame, config: TopK = TopK()) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): each vector's k nearest others by cosine, every row a query.
+    """(vec_id, rank, neighbor_id, score): the k nearest others by cosine of each vector whose id config.every divides.
+
+    All rows are searched.
 
     Ranked by the cosine rounded to config.digits, then by id. Fewer than k others give fewer rows.
     Vectors that are null, empty, of length zero or not finite are neither queries nor results, and
     vectors of different dimensions aren't compared. Rows repeated in id and vector are one; of rows that
     share an id only, each counts, as one result of that id by its best score; a row is never a result
-    for its own id. Null ids are one id, told as null. Other columns are ignored.
+    for its own id. Null ids are one id, told as null, and no query unless every vector is one. An empty
+    table gives no rows. Other columns are ignored.
     """
     distinct = vectors(table).select(F.size("e").alias("width"), "v", "e").distinct()
     rows = settle(distinct.withColumn("h", F.xxhash64("v", "e")))
     blocks = max(1, -(-rows.count() // config.block))
-    query_blocks = max(blocks, min(64, 12 // blocks or 1))
+    queries = rows.filter(F.col("v") % config.every == 0)
+    query_blocks = max(1, -(-queries.count() // config.block), min(64, 12 // blocks))
     items = rows.withColumn("ib", F.pmod("h", F.lit(blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).withColumn("item", F.lit(True))
-    asked = rows.withColumn("qb", F.pmod(F.shiftright("h", 20), F.lit(query_blocks)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("item", F.lit(False))
+    asked = queries.withColumn("qb", F.pmod(F.shiftright("h", 20), F.lit(query_blocks)).cast("int")).withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("item", F.lit(False))
     columns = ["width", "qb", "ib", "item", "v", "e"]
     both = items.select(columns).unionByName(asked.select(columns))
 

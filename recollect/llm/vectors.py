@@ -17,8 +17,12 @@ def usable(vector: Column) -> Column:
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """(v, e): distinct id and array<double> rows that can be compared; null ids count as the largest."""
-    e = F.col("embedding").cast("array<double>")
+    """(v, e): id and vector of the rows that can be compared; null ids count as the largest.
+
+    Vectors of 32-bit floats stay so on their way, which halves what is shuffled; all is worked out in 64 bits.
+    """
+    kind = table.schema["embedding"].dataType.simpleString()
+    e = F.col("embedding").cast(kind if kind == "array<float>" else "array<double>")
     return table.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(LAST)).alias("v"), e.alias("e")).filter(usable(F.col("e")))
 
 

@@ -23,7 +23,7 @@ def test_topk_against_brute_force(spark, seed, block):
     rng = np.random.default_rng(seed)
     x = np.concatenate([rng.standard_normal((300, 8)), np.repeat(rng.standard_normal((5, 8)), 12, 0)])  # with many ties
     df = spark.createDataFrame([(i, [float(v) for v in row], 0) for i, row in enumerate(x)], "vec_id long, embedding array<double>, q int")
-    got = sorted(map(tuple, topk.nearest(df, TopK(k=7, block=block, batch=32)).collect()))
+    got = sorted(map(tuple, topk.nearest(df, TopK(k=7, every=1, block=block, batch=32)).collect()))
     want = brute(x, list(range(len(x))), 7)
     assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-9)
 
@@ -37,16 +37,36 @@ def test_the_bound_stops_the_search():
         x[np.arange(n), rng.integers(0, 40, n)] = rng.exponential(1, n) + 0.01
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids = np.arange(n)
-    q, m, _, seen = topk.threshold_search(x, ids, x[:64], ids[:64], TopK(k=k, batch=1))
-    assert seen < 0.5 * 64 * n
+    q, m, _, seen = topk.threshold_search(x, ids, x[:64], ids[:64], TopK(k=k))
+    assert seen < 0.25 * 64 * n
     want = [(a, b) for a in range(64) for b in [i for _, i in sorted((-v, i) for i, v in enumerate(np.round(x @ x[a], 6)) if i != a)[:k]]]
     assert sorted(zip(q.tolist(), m.tolist(), strict=True)) == sorted(want)
 
 
+def test_queries_without_a_useful_bound_are_scored_at_once():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = rng.permutation(3000)
+    q, m, s, seen = topk.threshold_search(x, ids, x[::50], ids[::50], TopK())
+    assert seen == 60 * 3000
+    want = [w for w in brute(x, ids.tolist(), 10) if w[0] in set(ids[::50].tolist())]
+    assert sorted(zip(ids[::50][q].tolist(), ids[m].tolist(), strict=True)) == sorted((w[0], w[2]) for w in want)
+
+
+def test_queries_are_the_ids_that_twenty_divides(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((90, 5)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.nearest(df).collect()))
+    want = [w for w in brute(x.astype(np.float64), list(range(90)), 10) if w[0] % 20 == 0]
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
 def test_topk_table(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (None, [0.0, 2.0]), (1, [1.0, 0.0]), (1, [0.5, 0.5]), (8, [1.0, 0.0, 0.0]), (9, [None, 1.0])]
     df = spark.createDataFrame([(*r, "q") for r in rows], "vec_id long, embedding array<double>, n string")
-    got = sorted((tuple(r)[:3] for r in topk.nearest(df).collect()), key=str)
+    got = sorted((tuple(r)[:3] for r in topk.nearest(df, TopK(every=1)).collect()), key=str)
     assert got == sorted([(1, 1, 2), (1, 2, None), (2, 1, 1), (2, 2, None), (None, 1, 1), (None, 2, 2)], key=str)
     assert topk.nearest(df.limit(0)).count() == 0
 
@@ -60,7 +80,7 @@ def test_topk_counts_an_id_once(spark, block):
     ids = [None] * 30 + [500] * 30 + [i // 2 for i in range(140)]
     df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
     got = {}
-    for r in topk.nearest(df, TopK(k=7, block=block, batch=32)).collect():
+    for r in topk.nearest(df, TopK(k=7, every=1, block=block, batch=32)).collect():
         got.setdefault(r["vec_id"], []).append((r["rank"], r["neighbor_id"], r["score"]))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     score = np.round(unit @ unit.T, 6)
