@@ -3,12 +3,15 @@
 One Aho-Corasick pass finds anchors: at-signs, schemes, pairs of digits (alone or around a dot, as every
 account, telephone number and numeric address has them) and cue words of credentials and of identifiers
 such as accounts and passports. At each anchor a
-small parser looks at its surroundings only, expands to the boundaries and validates.
+small parser looks at its surroundings only, expands to the real boundaries, however far, and validates.
+
+What one anchor has looked at isn't looked at again by the next, so the time is in proportion to the text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import ahocorasick
@@ -26,15 +29,17 @@ PREFIXES = ("AKIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "sk-", "sk_
 #: From strongest to weakest; where finds overlap, the longer one counts, then the stronger.
 KINDS = ("secret", "email", "url", "iban", "card", "account", "ssn", "phone", "ip")
 
-LOCAL = re.compile(r"[\w.!#$%&'*+/=?^`{|}~-]")
-DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,63}")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+LOCAL = frozenset(".!#$%&'*+/=?^_`{|}~-")
+DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 REST = re.compile(r"[^\s<>\"'`{}|\\^]+")
-VALUE = re.compile(r"[A-Za-z_-]{0,12}[\"']?\s{0,3}(?:[:=]|=>|is)?\s{0,3}[\"']?([A-Za-z0-9_+/=.~-]{8,})")
+#: What may stand between a cue and its value: the end of its word, quotes, blanks, a sign.
+SIGN = re.compile(r"[A-Za-z_-]*+[\"']?\s*+(?:=>|[:=]|is)?\s*+[\"']?")
+VALUE = re.compile(r"[A-Za-z0-9_+/=.~-]{8,}")
 TAIL = re.compile(r"[A-Za-z0-9_-]{10,}")
 #: From the end of an identifier cue to its value: words for number, a sign, a quote.
-LINK = re.compile(r"s?(?:[\s_-]{0,3}(?:numbers?|num|nr|no|id|code|ref(?:erence)?)(?![a-z])\.?){0,2}[\"']?\s{0,3}(?:#|[:=]>?|is(?![a-z])|was(?![a-z])|-)?\s{0,3}#?[\"'(]?", re.I)
-IDENTIFIER = re.compile(r"(?:(?<![A-Za-z])|(?=\d))(?!\d{4}-\d\d-\d\d(?!\d))(?:[A-Z]{1,4}[ -])?(?=[A-Za-z]*\d)[A-Za-z0-9]+(?:(?:[./-]| (?=\w{2}))(?=[A-Za-z]*\d)[A-Za-z0-9]+){0,9}(?![\w])")
+LINK = re.compile(r"s?(?:[\s_-]*+(?:numbers?|num|nr|no|id|code|ref(?:erence)?)(?![a-z])\.?){0,2}[\"']?\s*+(?:#|[:=]>?|is(?![a-z])|was(?![a-z])|-)?\s*+#?[\"'(]?", re.I)
+IDENTIFIER = re.compile(r"(?:(?<![A-Za-z])|(?=\d))(?!\d{4}-\d\d-\d\d(?!\d))(?:[A-Z]{1,4}[ -])?(?=[A-Za-z]*\d)[A-Za-z0-9]+(?:(?:[./-]| (?=\w{2}))(?=[A-Za-z]*\d)[A-Za-z0-9]+)*(?![\w])")
 NUMBERS = (
     ("secret", re.compile(r"(?<![\w])(?=[0-9a-fA-F]*[a-fA-F])[0-9a-fA-F]{32,}(?!\w)")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
@@ -44,8 +49,11 @@ NUMBERS = (
     ("phone", re.compile(r"(?<![\w+])\+\d{8,15}(?!\w)")),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)")),
 )
-#: What a run of digits and its signs may hold; the window that the parsers see ends where it ends.
-NEAR = frozenset("0123456789.+-() ")
+#: What lies within a number or beside it, without blanks; and how the window that the parsers see goes on.
+NEAR = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.+-()")
+ONWARD = re.compile(r"(?:[0-9A-Za-z.+()-]| (?=[0-9A-Z.+() -]))*+")
+#: The shortest number there is has so many signs: a numeric address.
+LEAST = 7
 
 
 @dataclass(frozen=True)
@@ -98,11 +106,11 @@ def automaton():
 
 def email_at(text: str, at: int):
     """The address around the at-sign at `at`."""
-    m = DOMAIN.match(text, at + 1, at + 256)
+    m = DOMAIN.match(text, at + 1)
     if not m:
         return None
     lo = at
-    while lo > 0 and at - lo < 64 and LOCAL.match(text[lo - 1]):
+    while lo > 0 and ((c := text[lo - 1]).isalnum() or c in LOCAL):
         lo -= 1
     while lo < at and text[lo] in ".!#$%&'*+/=?^`{|}~-":
         lo += 1
@@ -113,25 +121,30 @@ def email_at(text: str, at: int):
 
 def url_at(text: str, at: int):
     """The address around the `://` at `at`."""
-    lo = max(0, at - 20)
-    m = SCHEME.search(text[lo:at])
-    rest = REST.match(text, at + 3)
-    if not m or not rest:
+    if not text[at + 3 : at + 4].isalnum():
+        return None
+    lo = at
+    while lo > 0 and text[lo - 1] in SCHEME:
+        lo -= 1
+    while lo < at and not text[lo].isalpha():
+        lo += 1
+    if lo == at:
         return None
-    end = rest.end()
-    while end > at + 3 and text[end - 1] in ".,;:!?)]*&$%#":
+    end = REST.match(text, at + 3).end()
+    while text[end - 1] in ".,;:!?)]*&$%#":
         end -= 1
-    return (lo + m.start(), end, "url") if end > at + 3 and text[at + 3].isalnum() else None
+    return lo, end, "url"
 
 
 def secret_after(text: str, end: int):
-    """The value that follows a cue ending at `end`."""
-    m = VALUE.match(text, end)
+    """The value that follows a cue ending at `end`, and how far it was looked for."""
+    sign = SIGN.match(text, end)
+    m = VALUE.match(text, sign.end()) or VALUE.match(text, end)  # or the cue's word itself goes on as the value
     if not m:
-        return None
-    value = m[1].rstrip(".-=") if m[1][-1] in ".-" else m[1]
-    digits = sum(c.isdigit() for c in value)
-    return (m.start(1), m.start(1) + len(value), "secret") if len(value) >= 8 and (digits >= 2 and digits < len(value)) else None
+        return None, sign.end()
+    value = m[0].rstrip(".-=") if m[0][-1] in ".-" else m[0]
+    digits = sum(map(value.count, "0123456789"))
+    return (m.start(), m.start() + len(value), "secret") if len(value) >= 8 and 2 <= digits < len(value) else None, max(sign.end(), m.end())
 
 
 def identifier_after(text: str, start: int, end: int):
@@ -145,11 +158,13 @@ def identifier_after(text: str, start: int, end: int):
 
 
 def secret_at(text: str, start: int, end: int):
-    """The key that begins with a known prefix."""
+    """The key that begins with a known prefix, and how far it was looked for."""
     if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
-        return None
+        return None, start
     m = TAIL.match(text, end)
-    return (start, m.end(), "secret") if m and any(c.isdigit() for c in m[0]) and any(text.startswith(p, start) for p in PREFIXES) else None
+    if not m:
+        return None, start
+    return (start, m.end(), "secret") if any(map(m[0].__contains__, "0123456789")) and any(text.startswith(p, start) for p in PREFIXES) else None, m.end() if not any(map(m[0].__contains__, "0123456789")) else start
 
 
 def numbers_in(text: str, lo: int, hi: int):
@@ -165,41 +180,67 @@ def numbers_in(text: str, lo: int, hi: int):
             yield m.start(), m.end(), found
 
 
+def window(text: str, start: int, end: int, seen: int) -> tuple[int, int]:
+    """What may belong to a number around text[start:end]: words with digits before it, and what goes on after it.
+
+    Nothing before `seen`, where an earlier window ended, belongs to it.
+    """
+    lo = start
+    while lo > seen and text[lo - 1] in NEAR:
+        lo -= 1
+    while lo - 1 > seen and text[lo - 1] == " ":
+        word = lo - 1
+        while word > seen and text[word - 1] in NEAR:
+            word -= 1
+        if not any(c.isdigit() for c in text[word : lo - 1]):
+            break
+        lo = word
+    return lo, ONWARD.match(text, end).end()
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in order, not overlapping, as character places."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length
         low = "".join(c.lower() if c.isascii() else c for c in text)
-    found, seen = [], 0
+    found, seen = [], dict.fromkeys(("number", "url", "cue", "prefix", "identifier"), 0)
     for end, (kind, n) in automaton().iter(low):
-        start = end - n + 1
-        if kind == "number":
-            if end < seen:
-                continue
-            lo, hi = start, end + 1
-            while lo > 0 and (text[lo - 1] in NEAR or text[lo - 1].isascii() and text[lo - 1].isalnum()):
-                lo -= 1
-            while hi < len(text) and (text[hi] in NEAR or text[hi].isascii() and text[hi].isalnum()):
-                hi += 1
-                if text[hi - 1] == " " and (hi == len(text) or not (text[hi] in NEAR or text[hi].isupper())):
-                    break
-            while text[lo] == " " and lo < start:
-                lo += 1
-            cut = text.rfind(" ", lo, start)
-            while cut > lo and any(c.isdigit() for c in text[text.rfind(" ", lo, cut) + 1 : cut]):
-                cut = text.rfind(" ", lo, cut)
-            lo = cut + 1 if cut >= lo else lo
-            found += numbers_in(text, lo, hi)
-            seen = hi
+        start, end = end - n + 1, end + 1
+        if kind == "email":
+            one = email_at(text, start)
+        elif start < seen[kind] and end <= seen[kind]:  # an earlier find of the kind holds it, or what can follow was in vain
+            continue
+        elif kind == "number":
+            lo, hi = window(text, start, end, seen[kind])
+            seen[kind] = hi
+            found += numbers_in(text, lo, hi) if hi - lo >= LEAST else ()
+            continue
+        elif kind == "url":
+            one = url_at(text, start)
+            seen[kind] = one[1] if one else 0
+        elif kind == "cue":
+            one, seen[kind] = secret_after(text, end)
+        elif kind == "prefix":
+            one, seen[kind] = secret_at(text, start, end)
+            seen[kind] = one[1] if one else seen[kind]
         else:
-            one = email_at(text, start) if kind == "email" else url_at(text, start) if kind == "url" else secret_after(text, end + 1) if kind == "cue" else identifier_after(text, start, end + 1) if kind == "identifier" else secret_at(text, start, end + 1)
-            if one:
-                found.append(one)
+            one = identifier_after(text, start, end)
+            seen[kind] = one[1] if one else 0
+        if one:
+            found.append(one)
+    return apart(found)
+
+
+def apart(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Of finds that overlap the longest, then the strongest, then the first; in order of place."""
+    starts: list[int] = []
     out: list[tuple[int, int, str]] = []
-    for one in sorted(found, key=lambda x: (x[0] - x[1], KINDS.index(x[2]), x[0])):
-        if all(one[1] <= o[0] or one[0] >= o[1] for o in out):
-            out.append(one)
-    return sorted(out)
+    for one in sorted(set(found), key=lambda x: (x[0] - x[1], KINDS.index(x[2]), x[0])):
+        i = bisect_left(starts, one[0])
+        if (i == 0 or out[i - 1][1] <= one[0]) and (i == len(out) or one[1] <= starts[i]):
+            starts.insert(i, one[0])
+            out.insert(i, one)
+    return out
 
 
 def masked(text: str, spans: list[tuple[int, int, str]], config: Private = Private()) -> str:
@@ -236,14 +277,19 @@ def redact(docs: DataFrame, config: Private = Private()) -> DataFrame:
     """(doc_id, text, n_found, spans), one row for each row of docs.
 
     text has each find replaced by its kind, as in <EMAIL>; spans lie in the original text, by character.
-    Finds of one document don't overlap. A null text stays null, with null n_found and spans; an empty
-    one has none. Further columns are ignored.
+    Finds of one document don't overlap; of those that would, the longest counts. A null text stays null,
+    with null n_found and spans; an empty one has none. Texts of any length are read whole, in time in
+    proportion to their length, and a find of any length is masked whole. Repeated rows stay, each on its
+    own. An empty table gives an empty one. Further columns are ignored.
     """
     return _found(docs.select("doc_id", "text"), config).select(F.col("row.doc_id").alias("doc_id"), "text", F.when(F.col("spans").isNotNull(), F.size("spans")).cast("long").alias("n_found"), "spans")
 
 
 def redacted(docs: DataFrame, config: Private = Private()) -> DataFrame:
-    """The documents, all columns, with personal data replaced in text; n_chars, if there, follows it."""
+    """The documents, all columns, with personal data replaced in text; n_chars, if there, follows it.
+
+    For null, empty and long texts, repeated rows and empty tables see redact.
+    """
     new = {c: F.col("text") if c == "text" else F.col("row")[c] for c in docs.columns}
     if "n_chars" in new:
         new["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)

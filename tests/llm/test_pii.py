@@ -1,3 +1,7 @@
+import random
+import re
+import time
+
 import duckdb
 import pytest
 
@@ -70,6 +74,75 @@ def test_anchors_miss_nothing_that_a_full_scan_finds():
         assert all(spans[i][1] <= spans[i + 1][0] for i in range(len(spans) - 1))
 
 
+def naive(text):
+    """Patterns of their own for what is planted below, without anchors, tried at every place of the text."""
+    patterns = {
+        "email": r"[a-z0-9][a-z0-9.+]*@(?:[a-z0-9]+\.)+[a-z]{2,}", "url": r"https?://[a-z0-9./?=&_-]*[a-z0-9]", "phone": r"(?<![\w+-])(?:\+\d{1,3} )?\(?\d{3}\)?[ -]\d{3}-\d{4}(?!\w)", "ssn": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
+        "ip": r"(?<![\w.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\w.])", "iban": r"(?<!\w)[A-Z]{2}\d\d(?: \d{4}){4} \d\d(?!\w)", "card": r"(?<![\w.])\d{4}(?: \d{4}){3}(?!\w)",
+        "account": r"(?<=account number )\d+(?!\w)", "secret": r"(?<=token = )[0-9a-f]{20,}|(?<!\w)(?:ghp_|AKIA)[A-Za-z0-9]{10,}",
+    }
+    spans = [(m.start(), m.end(), kind) for kind, p in patterns.items() for m in re.finditer(p, text)]
+    return sorted(s for s in spans if not any(o[0] <= s[0] and s[1] <= o[1] and o != s for o in spans))
+
+
+def iban(body):
+    check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
+    digits = f"{check:02d}{body}"
+    return "DE" + " ".join([digits[:2], *[digits[i : i + 4] for i in range(2, len(digits), 4)]])
+
+
+def card(rng):
+    body = [rng.randrange(10) for _ in range(15)]
+    total = sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(body))
+    number = "".join(map(str, [*body, -total % 10]))
+    return " ".join(number[i : i + 4] for i in range(0, 16, 4))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_all_kinds_against_naive_patterns(seed):
+    rng = random.Random(seed)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("bcdfghjklmnpqrtvwxz") for _ in range(n))
+    make = {
+        "email": lambda: f"{letters(rng.randrange(1, 90))}.{letters(3)}+{digits(2)}@{letters(70)}.{letters(5)}.{letters(2)}", "url": lambda: f"https://{letters(9)}.{letters(3)}/{letters(rng.randrange(1, 400))}?q={digits(3)}",
+        "phone": lambda: rng.choice(["{}-{}-{}", "({}) {}-{}", "+1 {} {}-{}"]).format(digits(3), digits(3), digits(4)), "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "iban": lambda: iban(digits(18)), "card": lambda: card(rng), "account": lambda: f"account number {digits(rng.randrange(5, 12))}", "secret": lambda: rng.choice([f"token = a{digits(9)}{'0f' * rng.randrange(6, 300)}", f"ghp_{letters(20)}{digits(3)}"]),
+    }
+    parts = []
+    for _ in range(200):
+        parts += [letters(rng.randrange(2, 9)) for _ in range(rng.randrange(1, 6))]
+        parts.append(make[rng.choice(list(make))]() + rng.choice(["", ",", ";"]))
+    text = " ".join(parts)
+    assert pii.find(text) == naive(text)
+    assert {k for _, _, k in pii.find(text)} == set(pii.KINDS)
+
+
+@pytest.mark.parametrize("text", [
+    "x" * 80 + "@mail.example.com", "a@" + "b" * 300 + ".example.com", "x" * 40 + "://host.example/a", "password" + " " * 9 + "=" + " " * 9 + "b7db7aa4a5fcc78305", "account " + "-".join(["12"] * 40),
+])
+def test_finds_end_where_they_really_end(text):
+    spans = pii.find(text)
+    assert len(spans) == 1 and spans[0][1] == len(text) and (spans[0][0] == 0 or text.startswith(("password", "account ")))
+
+
+@pytest.mark.parametrize("unit", [
+    "word 12 more ", "12 ", "a1 ", "x@y.de ", "a@", "@a.", "a.b", "http://a", "a://", "://", "token", "token=", "token ", "sk-", "account1-", "account ", "1234567890", "1.2.3.4 ", "1-", "(", "12.", "A1", "a-1_", "is", "ghp_1", "+1 (743) 555-3824 ",
+])
+def test_time_is_in_proportion_to_the_text(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 12
+
+
+def test_many_numbers_in_a_long_text():
+    rng = random.Random(0)
+    text = " ".join(f"{'abcdefghij'[: rng.randrange(3, 10)]} {rng.randrange(10, 99999)}" for _ in range(80_000))
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 2.5
+
+
 def test_table(table, rows_of):
     long = "word " * 100_000 + "x@y.de"
     rows = [(1, "mail x@y.de twice x@y.de"), (2, None), (3, ""), (None, "x@y.de"), (1, "mail x@y.de twice x@y.de"), (4, long)]
