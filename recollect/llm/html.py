@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent labeller of blocks.
 
 A page is cut into blocks: the text between two tags that break lines. Each block is read as a vector of
-its tag path, a vector of its hashed words and a few numbers. A bidirectional LSTM, in numpy, goes over
+its whole tag path, near tags counting more, a vector of its hashed words and a few numbers. A bidirectional LSTM, in numpy, goes over
 all blocks of the page, so that each is classified in the light of the whole document.
 
 The labeller is trained here, on a bounded sample of pages that tell by semantic tags where their main
@@ -12,7 +12,9 @@ words, lengths and neighbours.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 from html import unescape
 
@@ -28,17 +30,44 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Tags that end where one of the same kind begins.
 LOOSE = frozenset("p li dt dd tr td th option".split())
 #: What goes to its end tag or to the end of the page; a tag that closes itself holds nothing.
-SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>|<(script|style)\b.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
+SKIPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])[^>]*/>|<(script|style)\b.*?(?:</\1\s*>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)", re.S | re.I)
 #: What is left out only where it has an end tag.
-HIDDEN = re.compile(r"<(/?)(noscript|template|svg)(?=[\s/>])((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.I)
-HEAD = re.compile(r"<head(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>", re.I)
+HIDDEN = frozenset("noscript template svg".split())
 #: Tags that can stand in the head; it ends at any other, and at text that isn't the title's.
 IN_HEAD = frozenset("html head title meta link base script style noscript template".split())
 TITLE_END = re.compile(r"</title\s*>", re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>")
-NAME = re.compile(r"\b(?:class|id|role)\s*=\s*[\"']?([\w -]+)", re.I)
+OPEN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9-]*+)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+NAME = re.compile(r"\b(?:class|id|role)\s*+=\s*+[\"']?([\w -]+)", re.I)
 BLANKS = re.compile(r"\s+")
 MAIN, ASIDE = frozenset(("article", "main")), frozenset(("nav", "aside", "footer", "header", "form", ".ad", ".ads", ".nav", ".footer", ".sidebar"))
+#: How much less a tag counts than the one that it holds.
+DECAY = 0.6
+
+
+class Node:
+    """A tag or class name on a path, with the one that holds it; iterates from the outermost."""
+
+    __slots__ = ("above", "aside", "main", "tag")
+
+    def __init__(self, above: Node | None, tag: str):
+        self.above, self.tag = above, tag
+        self.main = tag in MAIN or above is not None and above.main
+        self.aside = tag in ASIDE or above is not None and above.aside
+
+    def __iter__(self) -> Iterator[str]:
+        out, node = [], self
+        while node is not None:
+            out.append(node.tag)
+            node = node.above
+        return reversed(out)
+
+
+def chain(tags: Iterable[str]) -> Node | None:
+    node = None
+    for tag in tags:
+        node = Node(node, tag)
+    return node
 
 
 @dataclass(frozen=True)
@@ -60,34 +89,53 @@ class Labeller:
         return self.path_size + self.word_size + 4
 
 
+def tags(html: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" or "", name, attributes) of each tag, in one pass.
+
+    A > within quotes doesn't end a tag. Where that leaves a tag without end, quotes don't count from
+    there on; where no > follows at all, the rest is text.
+    """
+    at, quotes = 0, True
+    while m := OPEN.search(html, at):
+        closed = ATTRIBUTES.match(html, m.end()) if quotes else None
+        quotes = quotes and closed is not None
+        at = closed.end() if closed else html.find(">", m.end()) + 1
+        if not at:
+            return
+        yield m.start(), at, m[1], m[2].lower(), html[m.end() : at - 1]
+
+
 def shown(html: str) -> str:
     """The page without what isn't shown: comments, scripts, styles, the head and hidden elements."""
     html = SKIPPED.sub(" ", html)
     gaps: list[tuple[int, int]] = []
     still_open: list[tuple[str, int, int]] = []
     count: Counter[str] = Counter()
-    for m in HIDDEN.finditer(html):
-        kind = m[2].lower()
-        if not m[1] and not m[3].endswith("/"):
-            still_open.append((kind, m.start(), m.end()))
+    for begin, end, closing, kind, rest in tags(html):
+        if kind not in HIDDEN:
+            continue
+        if not closing and not rest.endswith("/"):
+            still_open.append((kind, begin, end))
             count[kind] += 1
             continue
-        start = m.start()
-        if m[1] and count[kind]:
+        start = begin
+        if closing and count[kind]:
             name = None
             while name != kind:  # with what is still open in it
                 name, start, _ = still_open.pop()
                 count[name] -= 1
             while gaps and gaps[-1][0] > start:
                 gaps.pop()
-        gaps.append((start, m.end()))
+        gaps.append((start, end))
     html = without(html, sorted(gaps + [(start, end) for _, start, end in still_open]))
-    gaps, m = [], HEAD.search(html)
-    titled = max((t.start() for t in TITLE_END.finditer(html)), default=-1) if m else -1
-    while m:
-        end = head_end(html, m.end(), titled)
-        gaps.append((m.start(), end))
-        m = HEAD.search(html, end)
+    found = list(tags(html))
+    gaps, titled, i = [], max((t.start() for t in TITLE_END.finditer(html)), default=-1), 0
+    while i < len(found):
+        start, end, closing, name, _ = found[i]
+        i += 1
+        if name == "head" and not closing:
+            end, i = head_end(html, found, i, end, titled)
+            gaps.append((start, end))
     return without(html, gaps)
 
 
@@ -99,26 +147,35 @@ def without(html: str, gaps: list[tuple[int, int]]) -> str:
     return "".join([*parts, html[at:]])
 
 
-def head_end(html: str, at: int, titled: int) -> int:
-    """Where the head that begins before `at` ends, with or without an end tag; `titled` is the last end of a title."""
-    while m := TAG.search(html, at):
-        tag = m[2].lower()
-        if html[at : m.start()].strip() or tag not in IN_HEAD and (not m[1] or tag == "body"):
-            return at if html[at : m.start()].strip() else m.start()
-        at = m.end()
-        if m[1] and tag in ("head", "html"):
-            return at
-        if tag == "title" and not m[1] and not m[3].endswith("/"):
-            close = TITLE_END.search(html, at) if at <= titled else None
-            after = html.find("<", at)
-            at = close.end() if close else after if after >= 0 else len(html)
-    return at if html[at:].strip() else len(html)
-
-
-def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
-    """(tag path, text, share of it in links) of each block with text, in order."""
+def head_end(html: str, found: list[tuple], i: int, at: int, titled: int) -> tuple[int, int]:
+    """Where the head ends that begins before `at`, with or without an end tag, and the first tag behind it.
+
+    found[i:] are the tags from there on; titled is where the last title ends.
+    """
+    while i < len(found):
+        start, end, closing, tag, rest = found[i]
+        if start < at:  # within the title
+            i += 1
+        elif html[at:start].strip():
+            return at, i
+        elif tag not in IN_HEAD and (not closing or tag == "body"):
+            return start, i
+        else:
+            at, i = end, i + 1
+            if closing and tag in ("head", "html"):
+                return at, i
+            if tag == "title" and not closing and not rest.endswith("/"):
+                close = TITLE_END.search(html, at) if at <= titled else None
+                after = html.find("<", at)
+                at = close.end() if close else after if after >= 0 else len(html)
+    return at if html[at:].strip() else len(html), i
+
+
+def blocks(html: str) -> list[tuple[Node | None, str, float]]:
+    """(tag path, text, share of it in links) of each block with text, in order; in time in proportion to the page."""
     html = shown(html)
-    out, path, text, linked = [], [], [], 0
+    out, path, text, linked = [], [], [], 0  # path: the open elements, each with its node
+    held: Counter[str] = Counter()
     link, at = 0, 0
 
     def close():
@@ -126,39 +183,68 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, float]]:
         if text:
             joined = BLANKS.sub(" ", unescape("".join(text))).strip()
             if joined:
-                out.append((tuple(path), joined, min(1.0, linked / len(joined))))
+                out.append((path[-1][1] if path else None, joined, min(1.0, linked / len(joined))))
             text.clear()
         linked = 0
 
-    for m in TAG.finditer(html):
-        if m.start() > at:
-            text.append(html[at : m.start()])
-            linked += (m.start() - at) * bool(link)
-        at = m.end()
-        end, tag = m[1], m[2].lower()
+    def leave(tag: str):
+        name = None
+        while name != tag:
+            name, _ = path.pop()
+            held[name] -= 1
+
+    for start, end, closing, tag, rest in tags(html):
+        if start > at:
+            text.append(html[at:start])
+            linked += (start - at) * bool(link)
+        at = end
         if tag in INLINE:
             if tag == "a":
-                link = 0 if end else 1
+                link = 0 if closing else 1
             elif tag == "br":
                 text.append(" ")
             continue
         close()
         link = 0
-        if end:
-            if tag in path:  # with all that it holds, and its own class names
-                del path[len(path) - 1 - path[::-1].index(tag) :]
-        elif tag not in VOID and not m[3].endswith("/"):
-            if tag in LOOSE and tag in path[-3:]:
-                del path[len(path) - 1 - path[::-1].index(tag) :]
-            path.append(tag)
-            names = NAME.search(m[3])
-            if names and len(path) < 64:
-                path += ["." + x for x in names[1].lower().split()[:2]]
+        if closing:
+            if held[tag]:  # with all that it holds
+                leave(tag)
+        elif tag not in VOID and not rest.endswith("/"):
+            if tag in LOOSE and any(t == tag for t, _ in path[-3:]):
+                leave(tag)
+            node = Node(path[-1][1] if path else None, tag)
+            names = NAME.search(rest)
+            for name in names[1].lower().split() if names else ():
+                node = Node(node, "." + name)
+            path.append((tag, node))
+            held[tag] += 1
     text.append(html[at:].replace("<", " "))
     close()
     return out
 
 
+def path_vectors(nodes: list[Node | None], hide: np.ndarray, size: int) -> np.ndarray:
+    """For each path the hashed tags of all of it, each counting DECAY times what the next inner one does."""
+    out = np.zeros((len(nodes), size), np.float32)
+    code: dict[str, int] = {}
+    for hidden in (False, True):
+        known: dict[int, np.ndarray] = {id(None): np.zeros(size, np.float32)}
+        for i in np.flatnonzero(hide == hidden):
+            node, todo = nodes[i], []
+            while id(node) not in known:
+                todo.append(node)
+                node = node.above
+            for node in reversed(todo):
+                own = known[id(node.above)] * np.float32(DECAY)
+                if not (hidden and (node.tag in MAIN or node.tag in ASIDE)):
+                    if node.tag not in code:
+                        code[node.tag] = int(mix(np.array([name_hash(node.tag.encode())], U64))[0] % U64(size))
+                    own[code[node.tag]] += 1
+                known[id(node)] = own
+            out[i] = known[id(nodes[i])]
+    return out
+
+
 def vectors(pages: list[list[tuple]], config: Labeller, hidden: list[bool] | None = None) -> np.ndarray:
     """A row for each block of all pages, one page after the other."""
     flat = [b for page in pages for b in page]
@@ -166,12 +252,7 @@ def vectors(pages: list[list[tuple]], config: Labeller, hidden: list[bool] | Non
     x = np.zeros((len(flat), config.size), np.float32)
     if not flat:
         return x
-    names = sorted({t for p, _, _ in flat for t in p})
-    code = dict(zip(names, (mix(np.array([name_hash(n.encode()) for n in names], U64)) % U64(config.path_size)).tolist(), strict=True))
-    for i, (path, _, _) in enumerate(flat):
-        for depth, tag in enumerate(reversed(path[-8:])):
-            if not (hide[i] and (tag in MAIN or tag in ASIDE)):
-                x[i, code[tag]] += 1 / (1 + depth)
+    x[:, : config.path_size] = path_vectors([p for p, _, _ in flat], hide, config.path_size)
     texts = [t.encode() for _, t, _ in flat]
     ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     words = Words(np.frombuffer(b"".join(texts), np.uint8), ends, NOT_ALNUM)
@@ -308,7 +389,7 @@ def fit(pages: list[np.ndarray], labels: list[np.ndarray], config: Labeller) ->
 
 def told(page: list[tuple]) -> np.ndarray | None:
     """What semantic tags say of each block; None for a page without them, or all of one kind."""
-    y = np.array([bool(MAIN & set(p)) and not ASIDE & set(p) for p, _, _ in page], bool)
+    y = np.array([p is not None and p.main and not p.aside for p, _, _ in page], bool)
     return y if len(y) and y.any() and not y.all() else None
 
 
@@ -322,6 +403,7 @@ def train(pages: DataFrame, config: Labeller = Labeller()) -> Weights | None:
     parsed = [blocks(r["html"]) for r in rows]
     known = [(p, y) for p in parsed if (y := told(p)) is not None]
     if not known:
+        warnings.warn("no page of the sample says by tags where its main text is: every block will be kept", stacklevel=2)
         return None
     hidden = np.random.default_rng(config.seed).random(len(known)) < config.hide
     xs = [vectors([p], config, [h]) for (p, _), h in zip(known, hidden, strict=True)]
@@ -354,8 +436,9 @@ def extract(pages: DataFrame, config: Labeller = Labeller(), weights: Weights |
 
     text: the blocks classified as main text, one a line; scores has the chance of every block. A null
     html gives null text, blocks and scores; an empty one, or one without text, an empty text. Where no
-    page in the sample says where its main text is, there is nothing to learn and every block is kept.
-    Other columns are ignored.
+    page in the sample says where its main text is, there is nothing to learn and every block is kept,
+    with a warning. Long, deep and malformed pages are read whole, in time in proportion to their length.
+    Repeated rows stay, each on its own; an empty table gives an empty one. Other columns are ignored.
     """
     w = weights or train(pages, config)
     shared = pages.sparkSession.sparkContext.broadcast(w)  # a few KB, whatever the corpus

@@ -1,3 +1,5 @@
+import time
+
 import duckdb
 import numpy as np
 import pyarrow as pa
@@ -164,7 +166,7 @@ def test_html_held_out_accuracy(pages):
     hidden = np.random.default_rng(0).random(300) < config.hide
     w = html.fit([html.vectors([b], config, [h]) for (b, _), h in zip(known[:300], hidden, strict=True)], [y for _, y in known[:300]], config)
     for tag in (lambda t: t, lambda t: "div" if t in html.MAIN | html.ASIDE else t):
-        test = [[(tuple(tag(t) for t in p), x, s) for p, x, s in b] for b, _ in known[300:]]
+        test = [[(html.chain(tag(t) for t in p or ()), x, s) for p, x, s in b] for b, _ in known[300:]]
         p = np.concatenate(html.scores(test, w, config)) >= 0.5
         assert (p == np.concatenate([y for _, y in known[300:]])).mean() > 0.97
 
@@ -207,7 +209,7 @@ def test_gradients():
     ("", []),
 ])
 def test_blocks(source, want):
-    assert [b[:2] for b in html.blocks(source)] == want
+    assert [(tuple(p or ()), t) for p, t, _ in html.blocks(source)] == want
 
 
 @pytest.mark.parametrize(("source", "want"), [
@@ -229,8 +231,81 @@ def test_what_has_no_end_tag_does_not_take_the_page(source, want):
     assert [b[1] for b in html.blocks(source)] == want
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<div>", "<div>x", "<div class='a b'>x", "</p>x<i>", "<!", "<?", "<svg ", "<script ", "<a \"> \"", "<script \"> \"</script>", "<head>", "<title>", "<svg>x", "<p>x</div>", "<", "&amp;", "<li>x", "<a '><b \">"])
+def test_time_is_in_proportion_to_the_page(unit):
+    page = unit * (1_000_000 // len(unit))
+    began = time.process_time()
+    html.vectors([html.blocks(page)], html.Labeller())
+    assert time.process_time() - began < 20
+
+
+def test_a_path_tells_of_all_its_tags():
+    config = html.Labeller()
+    deep = ["div"] * 9
+    rows = html.vectors([[(html.chain(t), "x", 0.0) for t in (["article", *deep], ["nav", *deep], deep)]], config)
+    assert not np.array_equal(rows[0], rows[1]) and not np.array_equal(rows[0][: config.path_size], rows[2][: config.path_size])
+    hidden = html.vectors([[(html.chain(t), "x", 0.0) for t in (["article", *deep], ["nav", *deep], deep)]], config, [True])
+    assert np.array_equal(hidden[0][: config.path_size], hidden[1][: config.path_size])
+    same = html.vectors([[(html.chain(["div", ".ad", ".big", ".x"]), "x", 0.0)]], config)[0]
+    assert np.allclose(same, html.vectors([html.blocks("<div class='ad big x'>x")], config)[0])
+
+
+def test_lstm_equals_loops():
+    """The network written out, a page, a block and a unit at a time."""
+    config = html.Labeller(hidden=3, path_size=4, word_size=3)
+    rng = np.random.default_rng(1)
+    w = html.Weights.fresh(config)
+    pages = [rng.standard_normal((n, config.size)).astype(np.float32) for n in (5, 1, 9)]
+    sig = lambda z: 1 / (1 + np.exp(-z))
+
+    def states(x, m, b):
+        h, c, out = [0.0] * 3, [0.0] * 3, []
+        for row in x:
+            z = [float(b[k]) + sum(float(row[i]) * float(m[i, k]) for i in range(config.size)) + sum(h[j] * float(m[config.size + j, k]) for j in range(3)) for k in range(12)]
+            c = [sig(z[3 + u]) * c[u] + sig(z[u]) * np.tanh(z[9 + u]) for u in range(3)]
+            h = [sig(z[6 + u]) * np.tanh(c[u]) for u in range(3)]
+            out.append(h)
+        return out
+
+    x, mask = html.padded(pages)
+    got = html.forward(x, mask, w)[0]
+    for k, page in enumerate(pages):
+        fore, back = states(page, w.fw, w.fb), states(page[::-1], w.bw, w.bb)[::-1]
+        for t in range(len(page)):
+            want = sig(float(w.ob[0]) + sum(float(w.ow[u]) * fore[t][u] + float(w.ow[3 + u]) * back[t][u] for u in range(3)))
+            assert abs(got[t, k] - want) < 1e-5
+
+
+def test_hinge_loss_equals_a_plain_solver():
+    """The same objective by subgradient steps on the features written out as a matrix, and the same decisions."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.choice(20, 6)) for _ in range(60)]
+    y = np.array([int((r < 8).sum() > (r >= 12).sum()) for r in rows])
+    sign, n, size = np.where(y == 1, 1.0, -1.0), 60, 32
+    count = np.ones((2, size))
+    for r, k in zip(rows, y, strict=True):
+        for f in r:
+            count[k, f] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    x = np.zeros((n, size + 1))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+        x[i, size] = 1
+    cost = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    w, mean = np.zeros(size + 1), np.zeros(size + 1)
+    for t in range(1, 40_001):
+        w -= (w - ((cost * sign * (sign * (x @ w) < 1)) @ x)) * (2 / (t + 1))  # the mean weighs late steps more
+        mean += (w - mean) * (2 / (t + 1))
+    loss = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - sign * (x @ v))).sum()
+    (told, square), bias = quality.fit(rows, y, quality.Quality(bits=5, epochs=3000))
+    assert np.allclose(square, ratio * ratio)
+    own = np.append(np.divide(told, ratio, out=np.zeros(size), where=ratio != 0), bias)
+    assert abs(loss(own) - loss(mean)) <= 0.01 * loss(mean)
+    assert (np.sign(x @ own) == np.sign(x @ mean))[np.abs(x @ mean) > 0.05].all()
+
+
 def test_html_table(spark, pages):
-    rows = [(i, p) for i, p in enumerate(pages[:40])] + [(100, None), (101, ""), (None, pages[0]), (0, pages[0]), (102, "plain"), (103, "<p>" + "long text. " * 100_000)]
+    rows = [(i, p) for i, p in enumerate(pages[:40])] + [(100, None), (101, ""), (None, pages[0]), (0, pages[0]), (102, "plain"), (103, "<p>" + "long text. " * 100_000), (104, "<div>x" * 3000), (105, "<a " * 9000)]
     df = spark.createDataFrame([(i, "u", h, "z") for i, h in rows], "page_id long, url string, html string, text string")
     got = {}
     for r in html.extract(df, html.Labeller(epochs=4)).collect():
@@ -238,6 +313,7 @@ def test_html_table(spark, pages):
     assert sum(map(len, got.values())) == len(rows) and got[0][0] == got[0][1] and got[None][0]["text"] == got[0][0]["text"]
     assert got[100][0]["text"] is None and got[100][0]["scores"] is None and got[101][0]["text"] == "" and got[101][0]["n_blocks"] == 0
     assert all(len(r["scores"]) == r["n_blocks"] >= r["n_content"] for rs in got.values() for r in rs if r["scores"] is not None)
-    plain = html.extract(spark.createDataFrame([(1, "<p>a<p>b")], "page_id long, html string")).first()
+    with pytest.warns(UserWarning, match="every block"):
+        plain = html.extract(spark.createDataFrame([(1, "<p>a<p>b")], "page_id long, html string")).first()
     assert plain["text"] == "a\nb"  # nothing to learn from
     assert html.extract(df.limit(0)).count() == 0
