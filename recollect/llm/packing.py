@@ -1,14 +1,14 @@
 """Best-fit packing of documents into windows of a fixed number of words.
 
 A text longer than a window is cut into full windows and a rest. What is to be packed is then counted by
-length, and the plan is made on these counts: at most `window` numbers, however large the corpus. Each
-step opens windows with the longest length left and looks the gap up among the sums of the lengths that
-are left: a single one, a pair, a triple that fills it exactly. The same pattern is used as often as the
-counts allow, so every step uses up a length. A gap that no sum fills gets the longest length that fits,
-and its rest is looked up again.
+length, and the plan is made on these counts: at most `window` numbers, however large the corpus. An
+index tells for every sum which single length, pair or triple of lengths makes it. Each step opens
+windows with the longest length left and looks up what fills the gap exactly. The same pattern is used as
+often as the counts allow, so every step uses up a length. A gap that no sum fills gets the longest
+length that fits, and its rest is looked up again.
 
 The rows then find their places without meeting the plan's maker: each is numbered within its length,
-and the plan says which numbers of a length go to which windows.
+in groups of a bounded size, and the plan says which numbers of a length go to which windows.
 """
 
 from __future__ import annotations
@@ -27,14 +27,34 @@ from .textkit import longs, settle, text_key
 class Packing:
     #: Words that a window holds.
     window: int = 2048
+    #: Pieces of one length that a task numbers, about.
+    group: int = 500_000
 
 
 class Complements:
-    """Sums of one, two and three of the lengths left, looked up by what a gap lacks."""
+    """Index of the sums of one, two and three of the lengths left.
+
+    two[s] and three[s] are the longest part of the pair and the triple that make s, 0 where none does.
+    Counts only fall, so where an entry's parts are used up the next one lies below it: entries are mended
+    when they are looked up, and each moves down once through all lengths at most. `held` are pieces that
+    a pattern has while it grows; they are not to be had, but may come back, so they mend nothing.
+    """
 
     def __init__(self, counts: np.ndarray):
         self.left = counts.astype(np.int64).copy()
         self.lengths = [int(x) for x in np.flatnonzero(self.left)[::-1]]  # from the longest
+        self.held: dict[int, int] = {}
+        size = len(self.left)
+        self.two, self.three = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        rising = np.array(self.lengths[::-1], np.int64)
+        for k, a in enumerate(rising):
+            others = rising[: k + (self.left[a] > 1)]
+            self.two[a + others[others < size - a]] = a
+            pairs = np.flatnonzero(self.two[: size - a])  # so far of parts up to a
+            self.three[a + pairs] = a
+
+    def hold(self, x: int, times: int = 1) -> None:
+        self.held[x] = self.held.get(x, 0) + times
 
     def use(self, items: tuple[int, ...], times: int) -> None:
         for x in items:
@@ -42,41 +62,62 @@ class Complements:
             if self.left[x] == 0:
                 self.lengths.remove(x)
 
+    def free(self, x: int) -> int:
+        return int(self.left[x]) - self.held.get(x, 0)
+
     def single(self, gap: int) -> tuple[int, ...]:
-        return (gap,) if 0 < gap < len(self.left) and self.left[gap] else ()
+        return (gap,) if 0 < gap < len(self.left) and self.free(gap) > 0 else ()
 
-    def pair(self, gap: int, most: int | None = None) -> tuple[int, ...]:
-        """The pair with sum `gap` whose longer part is longest, of at most `most`."""
-        low, high = (gap + 1) // 2, min(gap - 1, gap if most is None else most, len(self.left) - 1)
+    def _pair(self, gap: int, most: int, own: np.ndarray) -> tuple[int, ...]:
+        """The pair of pieces in `own` with sum `gap` whose longer part is longest, of at most `most`."""
+        low, high = (gap + 1) // 2, min(gap - 1, most, len(own) - 1)
         if low > high:
             return ()
         a = np.arange(high, low - 1, -1)
-        fits = (self.left[a] > 0) & (self.left[gap - a] > 0)
+        fits = (own[a] > 0) & (own[gap - a] > 0)
         if gap % 2 == 0 and low == gap // 2:
-            fits[-1] = self.left[low] > 1
+            fits[-1] = own[low] > 1
         i = int(fits.argmax())
         return (int(a[i]), gap - int(a[i])) if fits[i] else ()
 
-    def triple(self, gap: int) -> tuple[int, ...]:
-        """The triple with sum `gap` whose longest part is longest, then its second."""
+    def _triple(self, gap: int, most: int, own: np.ndarray) -> tuple[int, ...]:
         for a in self.lengths:
-            if a > gap - 2 or not self.left[a]:
+            if a > min(most, gap - 2) or own[a] <= 0:
                 continue
             if 3 * a < gap:
                 break
-            self.left[a] -= 1
-            found = self.pair(gap - a, a)
-            self.left[a] += 1
+            own[a] -= 1
+            found = self._pair(gap - a, a, own)
+            own[a] += 1
             if found:
                 return (a, *found)
         return ()
 
+    def _looked_up(self, index: np.ndarray, search, gap: int) -> tuple[int, ...]:
+        if not 0 < gap < len(index) or not index[gap]:
+            return ()
+        found = search(gap, int(index[gap]), self.left)
+        index[gap] = found[0] if found else 0
+        if all(self.free(x) >= found.count(x) for x in found):
+            return found
+        own = self.left.copy()
+        for x, n in self.held.items():
+            own[x] -= n
+        return search(gap, int(index[gap]), own)
+
+    def pair(self, gap: int) -> tuple[int, ...]:
+        """The pair with sum `gap` whose longer part is longest."""
+        return self._looked_up(self.two, self._pair, gap)
+
+    def triple(self, gap: int) -> tuple[int, ...]:
+        """The triple with sum `gap` whose longest part is longest, then its second."""
+        return self._looked_up(self.three, self._triple, gap)
+
     def exact(self, gap: int) -> tuple[int, ...]:
         return self.single(gap) or self.pair(gap) or self.triple(gap)
 
     def longest(self, gap: int) -> int:
-        below = np.flatnonzero(self.left[1 : min(gap, len(self.left) - 1) + 1])
-        return int(below[-1]) + 1 if len(below) else 0
+        return next((x for x in self.lengths if x <= gap and self.free(x) > 0), 0)
 
 
 def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
@@ -85,15 +126,14 @@ def plan(counts: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
     while index.lengths:
         items, gap = (), window
         while gap:
-            found = index.exact(gap) if items else ((index.lengths[0],) if index.lengths[0] < window else (window,))
+            found = index.exact(gap) if items else (min(index.lengths[0], window),)
             found = found or ((index.longest(gap),) if index.longest(gap) else ())
             if not found:
                 break
             for x in found:
-                index.left[x] -= 1  # held while the pattern grows
+                index.hold(x)
             items, gap = items + found, gap - sum(found)
-        for x in items:
-            index.left[x] += 1
+        index.held.clear()
         times = int(min(index.left[x] // items.count(x) for x in set(items)))
         index.use(items, times)
         out.append((items, times))
@@ -131,15 +171,17 @@ def packed(docs: DataFrame, config: Packing = Packing()) -> DataFrame:
     bin_offset on, as item number `slot`. Every word of every row is packed once, repeated rows each on
     their own; no window holds more than config.window words. A text without words (null, empty, blank)
     has one row with n_words 0 and null bin_id, slot and bin_offset. Among pieces of one length, order
-    is by doc_id within hashed groups, so the result depends on the rows alone. An empty table gives no
-    rows; columns but doc_id and text are ignored.
+    is by doc_id within hashed groups, so the result depends on the rows alone. Texts of any length are
+    packed whole. An empty table gives no rows; columns but doc_id and text are ignored.
     """
     all_pieces = pieces(docs, config)
-    some = all_pieces.filter("n > 0").withColumn("g", F.pmod(F.xxhash64("doc_id", "h", "piece"), F.lit(64)).cast("int"))
-    per_group = settle(some.groupBy("n", "g").agg(F.count(F.lit(1)).alias("c")))  # 64 rows a length at most
     counts = np.zeros(config.window + 1, np.int64)
-    for row in per_group.groupBy("n").agg(F.sum("c").alias("c")).collect():  # a row a length at most
+    for row in all_pieces.filter("n > 0").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect():  # a row a length at most
         counts[row["n"]] = row["c"]
+    many = {n: -(-int(c) // config.group) for n, c in enumerate(counts) if c > config.group}
+    groups = F.expr(f"coalesce(element_at(map({', '.join(f'{n}, {g}' for n, g in many.items())}), n), 1)") if many else F.lit(1)
+    some = all_pieces.filter("n > 0").withColumn("g", F.pmod(F.xxhash64("doc_id", "h", "piece"), groups).cast("long"))
+    per_group = settle(some.groupBy("n", "g").agg(F.count(F.lit(1)).alias("c")))
     at = slots(plan(counts, config.window), counts)
     before = F.coalesce(F.sum("c").over(Window.partitionBy("n").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = per_group.select("n", "g", before.alias("before"))

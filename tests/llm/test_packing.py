@@ -53,6 +53,35 @@ def test_plan_equals_packing_one_window_at_a_time(seed):
     assert got == one_at_a_time(counts, window)
 
 
+def test_index_equals_search():
+    """Looked up while counts fall and pieces are held: what a search through all that is left finds."""
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        index = Complements(np.bincount(rng.integers(1, 30, 40), minlength=61))
+        while index.lengths:
+            index.held = {int(x): 1 for x in rng.choice(index.lengths, min(2, len(index.lengths)), replace=False)}
+            own = index.left.copy()
+            for x in index.held:
+                own[x] -= 1
+            for gap in range(1, 61):
+                assert index.pair(gap) == index._pair(gap, gap, own) and index.triple(gap) == index._triple(gap, gap, own), gap
+            index.held = {}
+            index.use((int(rng.choice(index.lengths)),), 1)
+
+
+@pytest.mark.parametrize("shape", ["one length", "two lengths", "long"])
+def test_skewed_lengths(shape):
+    rng = np.random.default_rng(1)
+    lengths = {"one length": np.full(500_000, 700), "two lengths": rng.choice([1, 2048], 300_000), "long": np.append(np.full(10**6, 2048), rng.integers(1, 2049, 3000))}[shape]
+    counts = np.bincount(lengths, minlength=2049)
+    patterns = plan(counts, 2048)
+    packed = np.zeros(2049, np.int64)
+    for items, times in patterns:
+        assert sum(items) <= 2048
+        np.add.at(packed, list(items), times)
+    assert (packed == counts).all() and len(patterns) < 3000
+
+
 def test_exact_complements_respect_counts():
     index = Complements(np.bincount([3, 3, 5], minlength=12))
     assert index.single(5) == (5,) and index.pair(6) == (3, 3) and index.pair(10) == () and index.triple(11) == (5, 3, 3) and index.triple(9) == ()
@@ -85,6 +114,16 @@ def test_table(table):
     assert packing.packed(table([])).count() == 0
 
 
+def test_numbers_are_those_of_all_groups(table):
+    """The same windows, each word once, whatever the size of a group; and a long text."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 13))) for i in range(60)] + [(100, "w " * 50_000)]
+    for group in (1, 7, 500_000):
+        got = packing.packed(table(rows), Packing(16, group)).collect()
+        places = {(r["bin_id"], r["slot"]) for r in got}
+        assert len(places) == len(got) and sum(r["n_words"] for r in got) == 50_000 + sum(1 + i * 7 % 13 for i in range(60))
+        assert len({b for b, _ in places}) == max(b for b, _ in places) + 1 <= 3125 + 27
+
+
 def test_result_depends_on_rows_alone(table):
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 13))) for i in range(60)]
     one = sorted(map(tuple, packing.packed(table(rows), Packing(16)).collect()))
