@@ -29,7 +29,7 @@ from .textkit import int_lists, slices
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: No token.
 NONE = 1 << 40
-#: Bytes from which a word is merged with a heap.
+#: Bytes from which a word is proposed and merged on its own, not side by side with others.
 LONG = 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -121,6 +121,7 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.edges: dict[int, tuple[int, int]] | None = None  # the trie again, for long words, made when there is one
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & (self.slots - 1)
@@ -138,9 +139,29 @@ class Vocabulary:
             at[left] = (at[left] + 1) & (self.slots - 1)
         return out
 
+    def longest(self, data: bytes) -> list[int]:
+        """Longest tokens from left to right of one long word."""
+        if self.edges is None:
+            some = np.flatnonzero(self.edge_keys >= 0)
+            self.edges = dict(zip(self.edge_keys[some].tolist(), zip(self.edge_to[some].tolist(), self.node_token[self.edge_to[some]].tolist(), strict=True), strict=True))
+        out, at, edges = [], 0, self.edges
+        while at < len(data):
+            node, i, best, end = 0, at, -1, at
+            while i < len(data) and (step := edges.get((node << 8) | data[i])):
+                node, token = step
+                i += 1
+                if token >= 0:
+                    best, end = token, i
+            out.append(best)
+            at = end
+        return out
+
     def propose(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest tokens from left to right of each buf[s:e]: (word of each token, token), in order."""
-        words, at, found = np.arange(len(starts)), starts.copy(), []
+        long = np.flatnonzero(ends - starts > LONG)
+        found = [(np.full(len(t), i), t) for i in long for t in [np.array(self.longest(buf[starts[i] : ends[i]].tobytes()), np.int32)]]
+        words = np.flatnonzero(ends - starts <= LONG)
+        at = starts[words]
         while len(words):
             node, best, length = np.zeros(len(words), np.int32), np.full(len(words), -1, np.int32), np.zeros(len(words), np.int64)
             alive, depth = np.arange(len(words)), 0
@@ -333,7 +354,8 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, tokens, n_tokens, round_trip), one row for each row of docs.
 
     round_trip: decoding the tokens gives the text again. A null text has nulls, an empty one no tokens.
-    Control strings in a text are ordinary text here. Further columns are ignored. The vocabulary, whose
+    Texts are encoded whole, also those that are one long word; repeated rows stay, each on its own; an
+    empty table gives an empty one. Control strings in a text are ordinary text here. Further columns are ignored. The vocabulary, whose
     size doesn't depend on the corpus, is read once and broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(path))

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 import tiktoken
@@ -29,6 +30,18 @@ def test_encoding_equals_a_public_encoder(both):
     assert encode.merged_words > 0  # the exact way was needed for some
 
 
+def test_long_words_take_little_time(both):
+    v, other = both
+    rng = random.Random(3)
+    long = ["".join(rng.choice("etaoinshrdlu") for _ in range(300_000)), "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(100_000)), "a" * 200_000]
+    began = time.process_time()
+    ids, begin = bpe.Encoder(v)(long)
+    assert time.process_time() - began < 20
+    for i, t in enumerate(long[:2]):
+        assert ids[begin[i] : begin[i + 1]].tolist() == other.encode_ordinary(t)
+    assert (v.decode_bytes(ids[begin[2] :]) == ord("a")).all()
+
+
 def test_tokens_one_by_one(both):
     v, other = both
     words = [t.decode() for t in v.tokens[::37] if t.decode("utf-8", "ignore").encode() == t]
