@@ -160,20 +160,23 @@ def bucket_edges(config: MinHash):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (d[a], t[a], d[b], t[b])], names=["ud", "ut", "vd", "vt"])
 
     def run(batches):
-        carried = None
+        parts: list[list[np.ndarray]] = []  # what may belong to a key that goes on
         for batch in batches:
+            if not len(batch):
+                continue
             column = batch.column(3).cast(pa.large_binary())
             at = np.frombuffer(column.buffers()[1], np.int64)[column.offset]
-            sig = np.frombuffer(column.buffers()[2], np.uint8)[at : at + len(batch) * config.hashes // 2].view(U64).reshape(len(batch), -1) if len(batch) else np.zeros((0, config.hashes // 16), U64)
+            sig = np.frombuffer(column.buffers()[2], np.uint8)[at : at + len(batch) * config.hashes // 2].view(U64).reshape(len(batch), -1)
             now = [longs(batch, "key"), longs(batch, "d"), longs(batch, "t"), sig]
-            if carried:
-                now = [np.concatenate(x) for x in zip(carried, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
-            if cut:
-                yield edges(*(x[:cut] for x in now))
-            carried = [x[cut:] for x in now]
-        if carried and len(carried[0]):
-            yield edges(*carried)
+            parts.append(now)
+            if parts[0][0][0] == now[0][-1]:  # one key so far
+                continue
+            now = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            cut = int(np.searchsorted(now[0], now[0][-1]))
+            yield edges(*(x[:cut] for x in now))
+            parts = [[x[cut:] for x in now]]
+        if parts:
+            yield edges(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return run
 
@@ -210,12 +213,13 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
 def keep_one(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
     """The documents without near copies of another: all columns, one row of each group.
 
-    Rows equal in doc_id and text are one document, of which one row stays (the least of its other
-    columns). See near_duplicates for the group and for null, empty and wordless texts.
+    Rows equal in doc_id and text are one document, of which one row stays (the first of them written
+    out as text, so columns may have any type). See near_duplicates for the group, for null, empty and
+    wordless texts and for empty tables.
     """
     decided = near_duplicates(docs, config).select(F.coalesce("doc_id", F.lit(LAST)).alias("d"), F.col("text_hash").alias("t"), "keep", "n_rows")
     special = settle(decided.filter("not keep or n_rows > 1"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_key().alias("t"))
     single = rows.join(special, ["d", "t"], "left_anti").select("row.*")
-    repeated = rows.join(special.filter("keep"), ["d", "t"], "left_semi").groupBy("d", "t").agg(F.min("row").alias("row")).select("row.*")
+    repeated = rows.join(special.filter("keep"), ["d", "t"], "left_semi").groupBy("d", "t").agg(F.min_by("row", F.col("row").cast("string")).alias("row")).select("row.*")
     return single.unionByName(repeated)

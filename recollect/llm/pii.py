@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import row_schema
+
 CUES = ("token", "secret", "password", "passwd", "passphrase", "api_key", "api-key", "apikey", "access_key", "private_key", "authorization", "bearer")
 #: Words that an identifier of any length follows, and the kind of it.
 IDENTIFIERS = {
@@ -270,7 +272,7 @@ def _found(docs: DataFrame, config: Private) -> DataFrame:
                 told = [None if s is None else [{"kind": k, "start": a, "length": b - a} for a, b, k in s] for s in spans]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(new, pa.string()), pa.array(told, _SPANS)], names=["row", "text", "spans"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, text string, spans {SPANS}")
+    return rows.mapInArrow(run, row_schema(rows, f"text string, spans {SPANS}"))
 
 
 def redact(docs: DataFrame, config: Private = Private()) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import BLANK, BYTE_HASH, FOLDED_HASH, NOT_ALNUM, U64, Words, int_lists, mix, range_hash, slices
+from .textkit import BLANK, BYTE_HASH, FOLDED_HASH, NOT_ALNUM, U64, Words, int_lists, mix, range_hash, row_schema, slices
 
 
 @dataclass(frozen=True)
@@ -185,8 +185,7 @@ def scored(docs: DataFrame, heads: list, config: Quality = Quality()) -> DataFra
                 scores = [pa.nulls(len(blank), pa.float64()) if x is None else pa.array(np.round(x, 6), pa.float64(), mask=blank) for x in (q, t)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *scores, pa.array(keep)], names=["row", "quality_score", "toxic_score", "keep"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, quality_score double, toxic_score double, keep boolean")
+    return rows.mapInArrow(run, row_schema(rows, "quality_score double, toxic_score double, keep boolean"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, config: Quality = Quality()) -> DataFrame:
@@ -194,11 +193,15 @@ def classify(docs: DataFrame, labels: DataFrame, config: Quality = Quality()) ->
 
     keep is quality_score >= least_quality and toxic_score < most_toxic. A null, empty or blank text has
     null scores and isn't kept. Where the labels hold one class only, or none, that head's score is null
-    and rejects nothing. Labels with a null are ignored, as are further columns of either table.
+    and rejects nothing. Labels with a null are ignored, as are further columns of either table. Texts
+    are scored whole, repeated rows each on its own; an empty table gives an empty one.
     """
     return scored(docs.select("doc_id", "text"), train(docs, labels, config), config).select(F.col("row.doc_id").alias("doc_id"), "quality_score", "toxic_score", "keep")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, config: Quality = Quality(), training: DataFrame | None = None) -> DataFrame:
-    """The rows of docs that classify keeps, all columns; training: where the labelled texts are, if elsewhere."""
+    """The rows of docs that classify keeps, all columns; training: where the labelled texts are, if elsewhere.
+
+    For null, empty and long texts, repeated rows and empty tables see classify.
+    """
     return scored(docs, train(docs if training is None else training, labels, config), config).filter("keep").select("row.*")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..lineage import release, settle, shared_folder
+from ..lineage import settle, shared_folder
 
 U64 = np.uint64
 SLICE_BYTES = 3_000_000
@@ -126,4 +127,9 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-__all__ = ["Words", "binary", "int_lists", "longs", "mix", "powers", "range_hash", "release", "settle", "shared_folder", "slices", "text_key"]
+def row_schema(rows: DataFrame, more: str) -> T.StructType:
+    """The column `row` of rows, of whatever type, and the columns that `more` tells of."""
+    return T.StructType([rows.schema["row"], *T.StructType.fromDDL(more)])
+
+
+__all__ = ["Words", "binary", "int_lists", "longs", "mix", "powers", "range_hash", "row_schema", "settle", "shared_folder", "slices", "text_key"]

@@ -2,6 +2,7 @@ import collections
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from recollect.llm import forest, minhash, substring
@@ -104,6 +105,25 @@ def test_minhash_table(table, rows_of):
     assert minhash.near_duplicates(table([])).count() == 0 == minhash.keep_one(table([])).count()
 
 
+def test_rows_of_columns_that_have_no_order(spark):
+    text = " ".join(words(1, 50))
+    rows = [(1, text, {"a": 1}, [{"k": 2}]), (1, text, {"a": 0}, None), (2, text, {}, []), (3, None, None, None), (3, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `m p` map<string,int>, l array<map<string,int>>")
+    kept = minhash.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], str(r["m p"])) for r in kept.collect()) == [(1, "{'a': 0}"), (3, "None")]
+
+
+def test_buckets_that_go_on_over_batches():
+    config = minhash.MinHash()
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 63, (60, 8), dtype=np.int64).view(np.uint64)
+    sig[5:30:2] = sig[5]
+    key = np.repeat([1, 2, 3], [4, 40, 16])
+    table = pa.table({"key": key, "d": np.arange(60), "t": np.arange(60), "sig": pa.array([s.tobytes() for s in sig], pa.binary())})
+    told = [sorted(x for b in minhash.bucket_edges(config)(iter(table.to_batches(n))) for x in zip(b["ud"].to_pylist(), b["vd"].to_pylist(), strict=True)) for n in (60, 7, 1)]
+    assert told[0] == told[1] == told[2] and len(told[0]) == 12
+
+
 def test_short_texts_that_differ_stay_apart(table):
     w = words(77, 1200)
     texts = w[:200] + [" ".join(w[200 + 2 * i : 202 + 2 * i]) for i in range(200)] + [" ".join(w[600 + 3 * i : 603 + 3 * i]) for i in range(200)]
@@ -133,8 +153,8 @@ def brute_repeats(rows, least):
     return sorted((s["doc"], s["p"], s["n"], None if s["ref"][0] else s["ref"][1], s["at"]) for s in spans)
 
 
-@pytest.mark.parametrize("least", [4, 7, 50])
-def test_repeats_against_brute_force(table, least):
+@pytest.mark.parametrize(("least", "hot"), [(4, 1000), (7, 1), (7, 1000), (50, 1), (50, 1000)])
+def test_repeats_against_brute_force(table, least, hot):
     rng = np.random.default_rng(least)
     passages = [words(900 + i, least + i) for i in range(8)]
     rows = []
@@ -147,8 +167,32 @@ def test_repeats_against_brute_force(table, least):
                 parts += p[int(rng.integers(0, 3)) :]
         rows.append((i, " ".join(parts)))
     rows += [(50, " ".join(["und"] * (least * 3))), (51, "x " + " ".join(["und"] * (least * 2))), (52, rows[3][1]), (53, "\n".join(rows[3][1].split()))]
-    got = sorted(tuple(r)[:5] for r in substring.repeats(table(rows), Repeats(min_words=least)).collect())
-    assert got == brute_repeats(rows, least)
+    rows += [(60, rows[7][1]), (60, rows[7][1]), (7, rows[7][1])]
+    got = sorted(tuple(r)[:5] for r in substring.repeats(table(rows).repartition(6), Repeats(min_words=least, hot=hot)).collect())
+    assert got == brute_repeats(list(dict.fromkeys(rows)), least)
+
+
+def test_least_within():
+    x = np.random.default_rng(0).integers(0, 1 << 62, 100).view(np.uint64)
+    for width in (1, 2, 3, 8, 26, 100, 130):
+        assert substring.least_within(x, width).tolist() == [int(x[i : i + width].min()) for i in range(100)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_pieces_do_not_hang_on_batches(size):
+    rng = np.random.default_rng(1)
+    rows = sorted((int(rng.integers(0, 6)), int(rng.integers(0, 9)), 0, int(rng.integers(0, 40)), rng.integers(0, 12, rng.integers(1, 9)).tobytes()) for _ in range(300))
+    rows = [x for i, x in enumerate(rows) if i == 0 or x[:4] != rows[i - 1][:4]]
+    rows += [rows[-1]]
+    first, want = {}, set()
+    for key, d, t, p, runs in rows[:-1]:
+        for i, h in enumerate(np.frombuffer(runs, np.int64).tolist()):
+            at = first.setdefault((key, h), (d, t, p + i))
+            if at != (d, t, p + i):
+                want.add((d, t, p + i, *at))
+    table = pa.table({"hot": [False] * len(rows), **{c: [r[i] for r in rows] for i, c in enumerate(("key", "d", "t"))}, "p": pa.array([r[3] for r in rows], pa.int32()), "runs": pa.array([r[4] for r in rows], pa.binary())})
+    got = {(d, t, p + i, rd, rt, rp + i) for b in substring.matched(iter(table.to_batches(size))) for d, t, p, n, rd, rt, rp in zip(*(b[c].to_pylist() for c in ("d", "t", "p", "n", "rd", "rt", "rp")), strict=True) for i in range(n)}
+    assert {x for x in got if x[:3] != x[3:]} == want
 
 
 def test_steps_round_trip():
