@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..lineage import settle, shared_folder
 
 U64 = np.uint64
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 
 _rng = np.random.default_rng(20240229)
 BYTE_HASH = _rng.integers(1, 1 << 63, 256, dtype=np.int64).view(U64) * U64(2) + U64(1)
