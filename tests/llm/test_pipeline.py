@@ -49,3 +49,22 @@ def test_each_stage_on_its_own(spark, sf):
     bins = duckdb.from_arrow(corpus_pipeline.STAGES[-1][1](spark, docs, sf).toArrow())
     assert duckdb.sql("select max(s) from (select sum(n_words) s from bins where bin_id is not null group by bin_id)").fetchall()[0][0] <= packing.Packing().window
     assert substring.Repeats().min_words == 50
+
+
+def test_odd_rows_go_through_every_stage(spark, sf):
+    """Nulls in any column, empty and long texts, repeats, columns with clashing names and of any type, an empty table."""
+    long = " ".join(f"word{i % 977}x{i}" for i in range(60_000))
+    rows = [(1, "a text of some words", None, None, None, {"k": 1}), (1, "a text of some words", None, None, None, {"k": 1}), (None, "no id here", "en", "s", 3, None), (2, None, "en", "s", None, {}), (3, "", "en", "s", 0, {}), (4, long, "en", "s", 1, {}), (5, long, None, "s", 1, {}), (None, None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row map<string,int>, `d t` string, keep boolean, spans int"
+    docs = spark.createDataFrame([(*r, "x", True, 7) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for table in (docs, docs.limit(0)):
+            after = stage(spark, table, sf)
+            assert after.columns == docs.columns, name
+            got = after.collect()
+            assert len(got) <= table.count() and all(r["spans"] == 7 and r["d t"] == "x" for r in got)
+            if table is docs:
+                assert len(got) == {"near_dedup": 6, "substring_dedup": 8, "pii": 8}.get(name, len(got)), name
+    bins = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
+    assert sum(r["n_words"] for r in bins) == 2 * 5 + 3 + 2 * 60_000 and sum(r["bin_id"] is None for r in bins) == 3
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
