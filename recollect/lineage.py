@@ -32,6 +32,24 @@ def discard(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes for each core, up to which a table of few files is small.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table read from fewer files than there are cores, over as many partitions as cores; any other as it is.
+
+    One row group is read by one task, whatever the work on its rows. Large tables have more of them than cores.
+    """
+    context = df.sparkSession.sparkContext
+    files, cores = df.inputFiles(), context.defaultParallelism
+    if not 0 < len(files) < cores:
+        return df
+    paths = [context._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the shared folder, so a lost executor costs no recomputation before it."""
     context = df.sparkSession.sparkContext

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from ..lineage import settle
 from . import lexical
+from .index import Index
 from .lexical import ranked
 
 RELATED_FACTOR, RELATED_EACH = 0.6, 5
@@ -53,13 +55,13 @@ def related(results: DataFrame, links: DataFrame, memories: DataFrame, limit: in
     return ranked(both, "score", int(limit * 1.5), F.col("source_id").isNotNull())
 
 
-def recall(memories: DataFrame, queries: DataFrame, near: DataFrame | None = None, links: DataFrame | None = None, limit: int = 10, now: datetime | str | None = None, recency: float = 0.0, **conditions) -> DataFrame:
+def recall(memories: DataFrame, queries: DataFrame, near: DataFrame | None = None, links: DataFrame | None = None, limit: int = 10, now: datetime | str | None = None, recency: float = 0.0, index: Index | None = None, **conditions) -> DataFrame:
     """Recall for each query, with its mode: dual-path, vector-only or bm25-only by which branch found anything.
 
     near: vector results (query_id, id, similarity, rank), at most 2 * limit a query. Columns: query_id,
-    id, score, rank, mode, source_id.
+    id, score, rank, mode, source_id. index: of the memories, if at hand.
     """
-    words = lexical.search(memories, queries, 2 * limit, **conditions)
+    words = settle(lexical.search(memories, queries, 2 * limit, index, **conditions))  # used three times, a few rows a query
     by_words = lexical.weighted(memories, words, limit).select("query_id", "id", "score", "rank", F.lit("bm25-only").alias("mode"))
     if near is None:
         out = by_words
@@ -70,6 +72,7 @@ def recall(memories: DataFrame, queries: DataFrame, near: DataFrame | None = Non
         fused = fused.join(has, "query_id", "left_semi").join(both, "query_id", "left")
         mode = F.when(F.col("_w"), "dual-path").otherwise("vector-only")
         out = fused.select("query_id", "id", "score", "rank", mode.alias("mode")).unionByName(by_words.join(has, "query_id", "left_anti"))
+    out = out if near is None else settle(out)
     if links is None:
         return out.withColumn("source_id", F.lit(None).cast(out.schema["id"].dataType))
     return related(out, links, memories, limit).join(out.select("query_id", "mode").distinct(), "query_id").select("query_id", "id", "score", "rank", "mode", "source_id")

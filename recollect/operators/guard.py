@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..lineage import settle
 from . import lexical
+from .index import Index
 
 NEAR_EXACT, MERGE, CONFLICT, LINK = 0.93, 0.82, 0.60, 0.45
 CANDIDATES = 8
@@ -63,25 +63,46 @@ def dedup_score(semantic: Column, lexical_overlap: Column, uri: Column, entity:
     return scores.clamp01(0.50 * semantic + 0.20 * lexical_overlap + 0.15 * uri + 0.10 * F.greatest(entity, 0.75 * lexical_overlap) + 0.05 * time)
 
 
+def signs(c: Column) -> Column:
+    """What conflicts are told from: (negated, numbers, done, active)."""
+    return F.struct(text.matches(c, _NOT).alias("negated"), text.numbers(c).alias("numbers"), text.matches(c, _DONE).alias("done"), text.matches(c, _ACTIVE).alias("active"))
+
+
 def conflict(a: Column, b: Column) -> dict[str, Column]:
     """Signs that two texts contradict each other: their sum, and the kind of the last one that applies."""
-    negated = text.matches(a, _NOT) != text.matches(b, _NOT)
-    na, nb = text.numbers(a), text.numbers(b)
-    value = (F.size(na) > 0) & (F.size(nb) > 0) & ~F.arrays_overlap(na, nb)
-    status = (text.matches(a, _DONE) & text.matches(b, _ACTIVE)) | (text.matches(a, _ACTIVE) & text.matches(b, _DONE))
+    return conflict_of(signs(a), signs(b))
+
+
+def conflict_of(a: Column, b: Column) -> dict[str, Column]:
+    """conflict, from the signs of both texts."""
+    negated = a["negated"] != b["negated"]
+    value = (F.size(a["numbers"]) > 0) & (F.size(b["numbers"]) > 0) & ~F.arrays_overlap(a["numbers"], b["numbers"])
+    status = (a["done"] & b["active"]) | (a["active"] & b["done"])
     total = 0.4 * negated.cast("int") + 0.3 * value.cast("int") + 0.3 * status.cast("int")
     return {"conflict_score": F.round(F.least(F.lit(1.0), total), 6), "conflict_type": F.when(status, "status").when(value, "value").otherwise("negation")}
 
 
-def candidates(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None = None, near: DataFrame | None = None, limit: int = CANDIDATES) -> DataFrame:
+def known(incoming: DataFrame, memories: DataFrame) -> DataFrame:
+    """incoming with same: the least id of a memory of its agent with the same content, else null."""
+    held = memories.groupBy("hash", "agent_id").agg(F.min("id").alias("same"))
+    return incoming.withColumn("hash", text.content_hash(F.col("content"))).join(held, ["hash", "agent_id"], "left")
+
+
+def latest_uri(paths: DataFrame) -> DataFrame:
+    """(memory_id, uri): the newest address of each memory."""
+    return paths.groupBy("memory_id").agg(F.max_by("uri", F.struct("created_at", "uri")).alias("uri"))
+
+
+def candidates(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None = None, near: DataFrame | None = None, limit: int = CANDIDATES, index: Index | None = None) -> DataFrame:
     """(seq, id, dedup scores, conflict) of the memories that each incoming text may repeat.
 
     incoming: (seq, content, type, agent_id, uri, source, created_at). As many as `limit` are recalled
     for each text, among its agent's memories, and only then narrowed to its type. near: (seq, id,
-    similarity) where vectors are at hand.
+    similarity) where vectors are at hand. Each text is looked at once, however many pairs it is in, and
+    pairs carry what was found in it, not the text.
     """
     asked = incoming.select(F.col("seq").alias("query_id"), F.col("content").alias("query"), "agent_id")
-    found = lexical.bm25_scores(memories, asked, "agent_id")
+    found = lexical.bm25_scores(memories, asked, "agent_id", index)
     words = lexical.ranked(found.select("query_id", "id", "score"), "score", max(8, limit))
     if near is None:
         recalled = lexical.weighted(memories, words, max(6, limit)).select(F.col("query_id").alias("seq"), "id", F.lit(None).cast("double").alias("similarity"))
@@ -90,53 +111,53 @@ def candidates(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None
 
         vectors = lexical.ranked(near.select(F.col("seq").alias("query_id"), "id", "similarity"), "similarity", max(8, limit))
         recalled = fuse(memories, words, vectors, max(6, limit)).select(F.col("query_id").alias("seq"), "id", "similarity")
-    new = incoming.select("seq", F.col("content").alias("new"), F.col("type").alias("new_type"), F.col("uri").alias("new_uri"), F.col("source").alias("new_source"), F.col("created_at").alias("new_at"))
-    old = memories.select("id", "content", "type", F.col("source").alias("old_source"), F.col("created_at").alias("old_at"))
-    pairs = recalled.join(new, "seq").join(old, "id").filter(F.col("type") == F.col("new_type"))
+    told = lambda c: [text.entities(F.col(c)).alias("entities"), signs(F.col(c)).alias("signs")]
+    new = incoming.select("seq", F.col("type").alias("new_type"), F.col("uri").alias("new_uri"), observed([F.col("uri"), F.col("source"), F.col("content")], F.col("created_at")).alias("new_at"), F.struct(text.tokenize(F.col("content")).alias("tokens"), *told("content")).alias("new"))
+    tokens = F.col("tokens") if index else text.tokenize(F.col("content"))
+    old = memories.join(index.tokens.select("id", "tokens"), "id") if index else memories
     if paths is None:
-        pairs = pairs.withColumn("uri", F.lit(None).cast("string"))
+        old = old.withColumn("uri", F.lit(None).cast("string"))
     else:
-        latest = paths.groupBy(F.col("memory_id").alias("id")).agg(F.max_by("uri", F.struct("created_at", "uri")).alias("uri"))
-        pairs = pairs.join(latest, "id", "left")
-    lex = scores.overlap(text.tokenize(F.col("new")), text.tokenize(F.col("content")))
-    pairs = pairs.withColumn("lexical", lex).withColumns({
-        "entity": scores.overlap(text.entities(F.col("new")), text.entities(F.col("content"))),
+        old = old.join(latest_uri(paths).withColumnRenamed("memory_id", "id"), "id", "left")
+    recalled = settle(recalled.join(memories.select("id", "type"), "id").join(incoming.select("seq", F.col("type").alias("new_type")), "seq").filter(F.col("type") == F.col("new_type")).select("seq", "id", "similarity"))
+    old = old.join(recalled.select("id").distinct(), "id", "left_semi")
+    old = old.select("id", "uri", observed([F.col("uri"), F.col("source"), F.col("content")], F.col("created_at")).alias("old_at"), F.struct(tokens.alias("tokens"), *told("content")).alias("old"))
+    pairs = recalled.join(new, "seq").join(old, "id").withColumn("lexical", scores.overlap(F.col("new.tokens"), F.col("old.tokens"))).withColumns({
+        "entity": scores.overlap(F.col("new.entities"), F.col("old.entities")),
         "uri_match": uri_match(F.col("new_uri"), F.col("uri")),
-        "time": time_proximity(F.col("new_type"), observed([F.col("new_uri"), F.col("new_source"), F.col("new")], F.col("new_at")), observed([F.col("uri"), F.col("old_source"), F.col("content")], F.col("old_at"))),
+        "time": time_proximity(F.col("new_type"), F.col("new_at"), F.col("old_at")),
         "semantic": scores.clamp01(F.coalesce("similarity", "lexical")),
     })
     pairs = pairs.withColumn("dedup_score", F.round(dedup_score(*(F.col(c) for c in ("semantic", "lexical", "uri_match", "entity", "time"))), 6))
-    told = conflict(F.col("new"), F.col("content"))
-    seen = (F.col("dedup_score") >= CONFLICT) & (told["conflict_score"] > 0.5)
-    return pairs.select("seq", "id", "new_type", F.round("semantic", 6).alias("semantic"), F.round("lexical", 6).alias("lexical"), F.round("uri_match", 6).alias("uri_match"), F.round(F.greatest("entity", 0.75 * F.col("lexical")), 6).alias("entity"), F.round("time", 6).alias("time"), "dedup_score", F.when(seen, told["conflict_type"]).alias("conflict_type"), "content")
+    against = conflict_of(F.col("new.signs"), F.col("old.signs"))
+    seen = (F.col("dedup_score") >= CONFLICT) & (against["conflict_score"] > 0.5)
+    return pairs.select("seq", "id", "new_type", F.round("semantic", 6).alias("semantic"), F.round("lexical", 6).alias("lexical"), F.round("uri_match", 6).alias("uri_match"), F.round(F.greatest("entity", 0.75 * F.col("lexical")), 6).alias("entity"), F.round("time", 6).alias("time"), "dedup_score", F.when(seen, against["conflict_type"]).alias("conflict_type"))
 
 
-def decide(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None = None, near: DataFrame | None = None, conservative: bool = False) -> DataFrame:
+def decide(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None = None, near: DataFrame | None = None, conservative: bool = False, index: Index | None = None) -> DataFrame:
     """What judge says, without the candidates."""
-    return judge(incoming, memories, paths, near, conservative)[0]
+    return judge(incoming, memories, paths, near, conservative, index)[0]
 
 
-def judge(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None = None, near: DataFrame | None = None, conservative: bool = False, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def judge(incoming: DataFrame, memories: DataFrame, paths: DataFrame | None = None, near: DataFrame | None = None, conservative: bool = False, index: Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(seq, action, target_id, step, dedup_score, new_content) for each incoming text, against one state of the store.
 
     step says which test decided: hash, uri, gate, conservative, candidates. new_content is what the
-    target's content becomes, null where it stays. Second, the candidates. cut may cut their lineage,
-    where they are used more than once.
+    target's content becomes, null where it stays. Second, the candidates.
     """
-    rows = incoming.withColumn("hash", text.content_hash(F.col("content")))
-    known = memories.groupBy("hash", "agent_id").agg(F.min("id").alias("same"))
-    rows = rows.join(known, ["hash", "agent_id"], "left")
+    rows = known(incoming, memories)
     kind = memories.schema["id"].dataType
     if paths is None:
         rows = rows.withColumn("at_uri", F.lit(None).cast(kind))
     else:
-        rows = rows.join(paths.select("agent_id", "uri", F.col("memory_id").alias("at_uri")).dropDuplicates(["agent_id", "uri"]), ["agent_id", "uri"], "left")
+        rows = rows.join(paths.groupBy("agent_id", "uri").agg(F.min("memory_id").alias("at_uri")), ["agent_id", "uri"], "left")
     passed = gate(F.col("content"), F.coalesce(F.col("priority") if "priority" in incoming.columns else F.lit(None).cast("int"), default_priority(F.col("type"))))["pass"]
-    rows = rows.withColumn("passed", passed)
+    rows = settle(rows.withColumn("passed", passed))
     open_rows = rows.filter("same is null and at_uri is null and passed") if not conservative else rows.filter("false")
-    found = cut(candidates(cut(open_rows.select("seq", "content", "type", "agent_id", "uri", "source", "created_at")), memories, paths, near))
+    found = settle(candidates(open_rows.select("seq", "content", "type", "agent_id", "uri", "source", "created_at"), memories, paths, near, index=index))
     first = Window.partitionBy("seq").orderBy(F.desc("dedup_score"), "id")
-    best = found.withColumn("n", F.row_number().over(first)).filter("n = 1").select("seq", F.col("id").alias("best"), "dedup_score", "conflict_type", F.col("content").alias("old"))
+    best = found.withColumn("n", F.row_number().over(first)).filter("n = 1").select("seq", F.col("id").alias("best"), "dedup_score", "conflict_type")
+    best = best.join(memories.select(F.col("id").alias("best"), F.col("content").alias("old")), "best")
     rows = rows.join(best, "seq", "left")
     override = F.col("conflict_type").isin("status", "value")
     close = F.when(override, "update").when(F.col("uri").isNotNull(), "update").otherwise("skip")
@@ -164,7 +185,7 @@ def merged(kind: Column, old: Column, new: Column) -> Column:
     own = text.stripped(new)
     bare = lambda x: F.regexp_replace(x, r"^-\s*", "")
     unique = F.array_distinct(F.filter(F.concat(text.lines(old), F.array(own)), lambda x: x != ""))
-    rest = F.transform(F.slice(unique, 2, 1_000_000), lambda x: F.concat(F.lit("- "), bare(x)))
+    rest = F.transform(F.slice(unique, F.lit(2), F.greatest(F.size(unique), F.lit(1))), lambda x: F.concat(F.lit("- "), bare(x)))
     emotion = F.when(F.size(unique) <= 1, F.coalesce(F.get(unique, F.lit(0)), own)).otherwise(F.array_join(F.concat(F.array(unique[0], F.lit("")), rest), "\n"))
     parts = F.array_distinct(F.concat(text.clauses(old), text.clauses(new)))
     knowledge = F.when(F.size(parts) <= 1, F.coalesce(F.get(parts, F.lit(0)), own)).otherwise(F.array_join(parts, "；"))

@@ -1,4 +1,4 @@
-"""Lexical retrieval: an inverted index and BM25, for any number of queries at once."""
+"""Lexical retrieval: BM25 over the inverted index, for any number of queries at once."""
 
 from __future__ import annotations
 
@@ -8,16 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from .index import Index
+from .index import of as index_of
 
 K1, B = 1.2, 0.75
 
 
-def postings(memories: DataFrame, *more: str) -> DataFrame:
-    """(id, pos, term, dl): the index terms of each memory, from its first 30 distinct tokens."""
-    own = text.let(text.terms(text.tokenize(F.col("content"))), lambda t: F.transform(t, lambda x, i: F.struct(i.alias("pos"), x.alias("term"), F.size(t).alias("dl"))))  # tokenized once
-    return memories.select("id", *more, F.explode(own).alias("e")).select("id", *more, "e.dl", "e.pos", "e.term")
-
-
 def phrases(queries: DataFrame, *more: str) -> DataFrame:
     """(query_id, phrase, key, terms): each token of a query is a phrase of one term or more, key names it."""
     tokens = queries.select("query_id", *more, F.posexplode(text.tokenize(F.col("query"))).alias("phrase", "token"))
@@ -38,21 +34,25 @@ def scope(memories: DataFrame, agent: str | None = None, min_vitality: float = 0
     return memories
 
 
-def bm25_scores(memories: DataFrame, queries: DataFrame, within: str | None = None) -> DataFrame:
+def bm25_scores(memories: DataFrame, queries: DataFrame, within: str | None = None, index: Index | None = None, only: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score) of all matches. Corpus statistics are over all memories given.
 
     What a memory gains by a phrase is worked out once for each distinct phrase, whatever the number of
     queries; the index is narrowed to the queries' terms before. within: a column of both tables, as
-    agent_id; a query then meets the memories with its own value only.
+    agent_id; a query then meets the memories with its own value only. index: of these memories, if at
+    hand. only: ids (id) that can be results.
     """
     own = [within] if within else []
+    index = index or index_of(memories)
     asked = phrases(queries, *own)
     unique = asked.select("key", "terms").distinct().select("key", F.size("terms").alias("size"), F.posexplode("terms").alias("offset", "term"))
-    corpus = memories.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(text.terms(text.tokenize(F.col("content"))))).alias("total"))
-    found = postings(memories, *own).join(unique, "term").groupBy("key", "size", "id", *own, "dl", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") == F.col("size"))
-    tf = found.groupBy("key", "id", *own, "dl").agg(F.count(F.lit(1)).alias("tf"))
+    met = index.postings.select("id", *own, "dl", "pos", "term").join(unique, "term")
+    single = met.filter("size = 1").groupBy("key", "id", *own, "dl").agg(F.count(F.lit(1)).alias("tf"))  # nearly all phrases
+    several = met.filter("size > 1").groupBy("key", "size", "id", *own, "dl", (F.col("pos") - F.col("offset")).alias("at")).agg(F.count(F.lit(1)).alias("hits")).filter(F.col("hits") == F.col("size"))
+    tf = single.unionByName(several.groupBy("key", "id", *own, "dl").agg(F.count(F.lit(1)).alias("tf")))
     df = tf.groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    joined = tf.join(df, "key").crossJoin(F.broadcast(corpus))  # one row
+    tf = tf if only is None else tf.join(only.select("id"), "id", "left_semi")
+    joined = tf.join(df, "key").crossJoin(F.broadcast(index.corpus))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw <= 0, F.lit(1e-6)).otherwise(raw)
     length = F.col("dl") / (F.col("total") / F.col("n"))
@@ -68,10 +68,11 @@ def ranked(scored: DataFrame, score: str, limit: int | None, *ties: Column) -> D
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
-def search(memories: DataFrame, queries: DataFrame, limit: int = 20, **conditions) -> DataFrame:
-    """(query_id, id, score, rank): BM25 over `queries` (query_id, query); conditions as in scope apply after the statistics."""
-    hits = bm25_scores(memories, queries).join(scope(memories, **conditions).select("id"), "id", "left_semi")
-    return ranked(hits.select("query_id", "id", "score"), "score", limit)
+def search(memories: DataFrame, queries: DataFrame, limit: int = 20, index: Index | None = None, **conditions) -> DataFrame:
+    """(query_id, id, score, rank): BM25 over `queries` (query_id, query); conditions as in scope narrow the results, not the statistics."""
+    conditions = {k: v for k, v in conditions.items() if v is not None and (k, v) != ("min_vitality", 0.0)}
+    hits = bm25_scores(memories, queries, index=index, only=scope(memories, **conditions) if conditions else None)
+    return ranked(hits, "score", limit)
 
 
 def weighted(memories: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:

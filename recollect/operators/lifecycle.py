@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..lineage import settle
+from ..sources import tables
+from .index import Index
 
 EPSILON, FADED = 0.001, 0.05
 #: (name, factor, least age in days, pattern) for events, then for knowledge; the first that matches counts.
@@ -29,6 +33,13 @@ class Capacity:
     by_type: Mapping[str, int | None] = field(default_factory=lambda: {"identity": None, "emotion": 50, "knowledge": 250, "event": 50})
     total: int = 350
 
+    @classmethod
+    def from_settings(cls, settings: Mapping[str, str], prefix: str = "") -> Capacity:
+        """From MAX_IDENTITY, MAX_EMOTION, MAX_KNOWLEDGE, MAX_EVENT and MAX_MEMORIES, as of the environment; what isn't a whole number above 0 leaves the usual value."""
+        usual = cls()
+        number = lambda name, default: int(m[0]) if (m := re.match(r"\s*\+?\d+", settings.get(f"{prefix}MAX_{name}", ""))) and int(m[0]) > 0 else default
+        return cls({kind: number(kind.upper(), most) for kind, most in usual.by_type.items()}, number("MEMORIES", usual.total))
+
 
 def decay(memories: DataFrame, now: datetime | str) -> DataFrame:
     """(id, old, vitality, changed) for all but the highest priority: vitality anew from the time since the last access."""
@@ -87,16 +98,18 @@ def tidy(memories: DataFrame, now: datetime | str, threshold: float = FADED) ->
 RAREST = 6
 
 
-def redundancy(memories: DataFrame, by: tuple[str, ...] = ("type",)) -> DataFrame:
-    """(id, redundancy): the largest share of tokens with another memory of the same `by`.
+def redundancy(memories: DataFrame, by: tuple[str, ...] = ("type",), index: Index | None = None) -> DataFrame:
+    """(id, redundancy): the largest share of tokens with another memory of the same `by`; tokens are told apart by 64 bits.
 
     Exact, without looking at all pairs. Tokens are ordered from rare to common. First, memories that
     have a rare token in common are compared, which tells how much a better partner must share. Such a
     partner must then have one of the memory's rarer tokens, all but the last ones that even together
     couldn't make up for it; so the commonest tokens, which most memories have, are seldom joined on.
-    Memories with equal token sets are collapsed before: there redundancy is 1.
+    Memories with equal token sets are collapsed before: there redundancy is 1. index: of the memories or
+    of more, if at hand.
     """
-    tokens = memories.select("id", *by, F.sort_array(text.tokenize(F.col("content"))).alias("tokens"))
+    rows = memories.join(index.tokens.select("id", "tokens"), "id") if index else memories.withColumn("tokens", text.tokenize(F.col("content")))
+    tokens = settle(rows.select("id", *by, F.sort_array(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens")))  # 64 bits a token: narrow rows, fast intersections
     sets = tokens.groupBy(*by, "tokens").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     index = settle(sets.select(*by, "rep", "tokens", F.explode("tokens").alias("token")))
     df = index.groupBy(*by, "token").agg(F.count(F.lit(1)).alias("df"))
@@ -121,13 +134,13 @@ def redundancy(memories: DataFrame, by: tuple[str, ...] = ("type",)) -> DataFram
     return tokens.join(own, [*by, "tokens"]).select("id", "redundancy")
 
 
-def eviction(memories: DataFrame, penalties: DataFrame, now: datetime | str) -> DataFrame:
+def eviction(memories: DataFrame, penalties: DataFrame, now: datetime | str, index: Index | None = None) -> DataFrame:
     """(id, type, priority, redundancy, age_score, penalty, score) of all that may be evicted, unordered.
 
     penalties: (memory_id, penalty); a memory without one counts as 1.
     """
     rows = memories.filter((F.col("priority") > 0) & (F.trim("content") != ""))
-    joined = rows.join(redundancy(rows), "id").join(penalties.select(F.col("memory_id").alias("id"), "penalty"), "id", "left")
+    joined = rows.join(redundancy(rows, index=index), "id").join(penalties.select(F.col("memory_id").alias("id"), "penalty"), "id", "left")
     age = scores.clamp01(F.greatest(F.lit(0.0), scores.days(F.col("created_at"), now)) / 180)
     penalty = F.coalesce("penalty", F.lit(1.0))
     score = scores.clamp01(0.40 * (1 - scores.clamp01(F.col("vitality"))) + 0.20 * F.col("redundancy") + 0.20 * age + 0.10 * scores.clamp01(penalty) + 0.10 * scores.clamp01(F.col("priority") / 3))
@@ -171,6 +184,22 @@ def archive_split(gone: DataFrame, min_vitality: float = 0.1) -> DataFrame:
     return gone.withColumn("fate", F.when(F.col("vitality") < min_vitality, "deleted").otherwise("archived"))
 
 
+def govern(memories: DataFrame, paths: DataFrame, archive: DataFrame, penalties: DataFrame, now: datetime | str, capacity: Capacity = Capacity(), index: Index | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(tables, told): memories, paths and archive after governing, and a row (orphan_paths, empty_memories, evicted, archived).
+
+    Paths to no memory and blank memories are deleted; what the quotas drop is archived if vital enough,
+    else deleted. Paths of what goes now go too. Scores are made once, before anything is evicted.
+    """
+    held = settle(memories.filter(F.trim("content") != ""))
+    led = paths.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select(paths.columns)
+    gone = settle(evicted(held, settle(eviction(held, penalties, now, index)), capacity))
+    left, kept = tables.archive(held, archive, gone, now)
+    told = gone.agg(F.count(F.lit(1)).alias("evicted")).crossJoin(gone.join(held.filter("vitality >= 0.1").select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("archived")))  # one row each
+    told = told.crossJoin(orphan_paths(paths, memories).agg(F.count(F.lit(1)).alias("orphan_paths"))).crossJoin(memories.agg(F.count_if(F.trim("content") == "").alias("empty_memories")))
+    led = led.join(left.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").select(paths.columns)
+    return {"memories": left, "paths": led, "memory_archive": kept}, told.select("orphan_paths", "empty_memories", "evicted", "archived")
+
+
 def orphan_paths(paths: DataFrame, memories: DataFrame) -> DataFrame:
     return paths.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")
 

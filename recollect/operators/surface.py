@@ -12,6 +12,7 @@ from ..functions import scores, text
 from . import feedback as fb
 from . import lexical
 from .fusion import related
+from .index import Index
 from .lexical import ranked, scope
 
 #: How well a type fits an intent, in the order identity, emotion, knowledge, event; and the factor without a hint.
@@ -67,13 +68,13 @@ def intent_score(content: Column, kind: Column, intent: str | None) -> Column:
     return scores.clamp01(scores.lookup(kind, dict(zip(("identity", "emotion", "knowledge", "event"), priors, strict=True)), 0.0) * F.when(hint, 1.0).otherwise(miss))
 
 
-def candidates(memories: DataFrame, near: DataFrame | None, at: Context) -> DataFrame:
+def candidates(memories: DataFrame, near: DataFrame | None, at: Context, index: Index | None = None) -> DataFrame:
     """(id, query_rank, task_rank, recent_rank, similarity): what any branch found, and the fallback list."""
     asked = {"query_rank": at.query.strip(), "task_rank": at.task.strip(), "recent_rank": " ".join(at.recent)}
     conditions = {"agent": at.agent, "min_vitality": at.min_vitality, "after": at.after, "before": at.before}
     names = list(asked)
     queries = memories.sparkSession.range(len(names)).select(F.col("id").alias("query_id"), scores.lookup(F.col("id"), dict(enumerate(asked.values())), "").alias("query"))
-    found = lexical.search(memories, queries, at.window, **conditions)
+    found = lexical.search(memories, queries, at.window, index, **conditions)
     ranks = [F.min(F.when(F.col("query_id") == i, F.col("rank"))).alias(n) for i, n in enumerate(names)]
     branches = found.select("id", "query_id", "rank", F.lit(None).cast("double").alias("similarity"))
     if near is not None:
@@ -83,14 +84,14 @@ def candidates(memories: DataFrame, near: DataFrame | None, at: Context) -> Data
     return branches.groupBy("id").agg(*ranks, F.max("similarity").alias("similarity"))
 
 
-def surface(memories: DataFrame, feedback: DataFrame, at: Context, near: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+def surface(memories: DataFrame, feedback: DataFrame, at: Context, near: DataFrame | None = None, links: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """The best memories for a context: six signals, their score, reasons, and linked memories if links are given."""
     spark = memories.sparkSession
     has_words = bool(at.query.strip() or at.recent)
     both = spark.range(1).select(F.array_distinct(F.flatten(F.array(*[text.tokenize(F.lit(x)) for x in [at.query, *at.recent]]))).alias("_q"), text.tokenize(F.lit(at.task)).alias("_t"))
     pool = scope(memories, min_vitality=at.min_vitality, types=at.types, emotion_tag=at.emotion_tag)
-    rows = pool.join(candidates(memories, near, at), "id").join(fb.summary(feedback, at.agent).select("memory_id", F.col("score").alias("fb")), F.col("id") == F.col("memory_id"), "left").crossJoin(F.broadcast(both))  # one row
-    rows = rows.withColumn("_m", text.tokenize(F.col("content")))
+    rows = pool.join(candidates(memories, near, at, index), "id").join(fb.summary(feedback, at.agent).select("memory_id", F.col("score").alias("fb")), F.col("id") == F.col("memory_id"), "left").crossJoin(F.broadcast(both))  # one row
+    rows = rows.join(index.tokens.select("id", F.col("tokens").alias("_m")), "id") if index else rows.withColumn("_m", text.tokenize(F.col("content")))
     lex, task = scores.overlap(F.col("_m"), F.col("_q")), scores.overlap(F.col("_m"), F.col("_t"))
     rank = lambda c: scores.rank_score(F.col(c), at.window)
     rows = rows.withColumns({

@@ -12,9 +12,10 @@ from ..functions import text
 from ..lineage import settle
 from ..sources import tables
 from . import guard
+from .index import Index
 
 
-def sync(store: Mapping[str, DataFrame], incoming: DataFrame, now: datetime | str, near: DataFrame | None = None, conservative: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+def sync(store: Mapping[str, DataFrame], incoming: DataFrame, now: datetime | str, near: DataFrame | None = None, conservative: bool = False, index: Index | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(changed tables, outcomes) of writing a batch, judged against one state of the store.
 
     incoming: (seq, content, type, agent_id, uri, source, created_at). Within the batch, texts equal for an
@@ -31,7 +32,7 @@ def sync(store: Mapping[str, DataFrame], incoming: DataFrame, now: datetime | st
     latest = Window.partitionBy("agent_id", "uri").orderBy(F.desc("seq"))
     single = single.withColumn("_n", F.when(F.col("uri").isNotNull(), F.row_number().over(latest)).otherwise(1)).filter("_n = 1").drop("_n", "hash")
     single = settle(single)
-    told, found = guard.judge(single, memories, paths, near, conservative, settle)
+    told, found = guard.judge(single, memories, paths, near, conservative, index)
     judged = single.join(told, "seq")
     fresh = F.concat(F.lit("m-"), F.substring(F.sha2(F.concat_ws("\x1f", "agent_id", text.content_hash(F.col("content"))), 256), 1, 32))
     judged = settle(judged.withColumn("memory_id", F.when(F.col("action") == "add", fresh).otherwise(F.col("target_id").cast("string"))))

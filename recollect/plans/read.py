@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import feedback, fusion, lexical, listing, surface, vector
+from ..operators import feedback, fusion, lexical, lifecycle, listing, surface, vector
 from . import views as v
 from .registry import Registry
 
@@ -21,25 +21,26 @@ RANKED = "row_number() OVER (ORDER BY score DESC, id)"
 @R.add(f"{BM} SELECT id, score, {RANKED} AS rank FROM bm QUALIFY rank <= 20")
 def bm25_search(spark, d):
     mem = v.memories(spark, d)
-    return lexical.search(mem, lexical.one_query(mem, QUERY)).select("id", "score", "rank")
+    return lexical.search(mem, lexical.one_query(mem, QUERY), index=v.lexical_index(spark, d)).select("id", "score", "rank")
 
 
 @R.add(f"{BM}, h AS (SELECT id, score AS b, {RANKED} AS bm25_rank FROM bm QUALIFY bm25_rank <= 20), w AS (SELECT id, bm25_rank, round(b * {v.WEIGHT} * greatest(0.1::DOUBLE, vitality), 6) AS score FROM h JOIN mem USING (id)) SELECT id, bm25_rank, score, row_number() OVER (ORDER BY score DESC, bm25_rank, id) AS rank FROM w QUALIFY rank <= 10")
 def bm25_recall_weighted(spark, d):
     mem = v.memories(spark, d)
-    return lexical.weighted(mem, lexical.search(mem, lexical.one_query(mem, QUERY))).select("id", "bm25_rank", "score", "rank")
+    return lexical.weighted(mem, lexical.search(mem, lexical.one_query(mem, QUERY), index=v.lexical_index(spark, d))).select("id", "bm25_rank", "score", "rank")
 
 
 @R.add(f"{BM} SELECT id, score, {RANKED} AS rank FROM bm JOIN mem USING (id) WHERE agent_id = 'src3' AND vitality >= 0.2 AND updated_at >= TIMESTAMP '2024-01-10' AND updated_at <= TIMESTAMP '2024-02-10' QUALIFY rank <= 20")
 def bm25_temporal(spark, d):
     mem = v.memories(spark, d)
-    return lexical.search(mem, lexical.one_query(mem, QUERY), agent="src3", min_vitality=0.2, after="2024-01-10", before="2024-02-10").select("id", "score", "rank")
+    return lexical.search(mem, lexical.one_query(mem, QUERY), index=v.lexical_index(spark, d), agent="src3", min_vitality=0.2, after="2024-01-10", before="2024-02-10").select("id", "score", "rank")
 
 
-@R.add(f"WITH {v.MEM}, {v.INC}, {v.TOK}, q0 AS (SELECT seq AS query_id, content AS query FROM inc WHERE seq < 100000), {v.bm25_sql('bm', 'q0')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 20")
+@R.add(f"WITH {v.MEM}, {v.INC}, {v.TOK}, q0 AS (SELECT seq AS query_id, content AS query FROM inc WHERE seq % 20 = 0), {v.bm25_sql('bm', 'q0')} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM bm QUALIFY rank <= 20")
 def bm25_batch(spark, d):
-    inc = v.incoming(spark, d).filter("seq < 100000").select(F.col("seq").alias("query_id"), F.col("content").alias("query"))
-    return lexical.search(v.memories(spark, d), inc).select("query_id", "id", "score", "rank")
+    """Of all incoming texts those whose number 20 divides are queries, against all memories."""
+    inc = v.incoming(spark, d).filter("seq % 20 = 0").select(F.col("seq").alias("query_id"), F.col("content").alias("query"))
+    return lexical.search(v.memories(spark, d), inc, index=v.lexical_index(spark, d)).select("query_id", "id", "score", "rank")
 
 
 @R.add(f"WITH {v.MEM}, t AS (SELECT id, row_number() OVER (ORDER BY priority, updated_at DESC, id) AS rank FROM mem WHERE contains(lower(content), 'thand') AND vitality >= 0.1) SELECT id, rank, 1::DOUBLE / rank AS score FROM t WHERE rank <= 20")
@@ -98,7 +99,7 @@ AGE = f"greatest(0, (epoch_us(TIMESTAMP '{v.NOW}') - epoch_us(updated_at)) / 864
 
 def _words(spark, d, limit=20, **conditions):
     mem = v.memories(spark, d)
-    return lexical.search(mem, lexical.one_query(mem, QUERY), limit, **conditions)
+    return lexical.search(mem, lexical.one_query(mem, QUERY), limit, v.lexical_index(spark, d), **conditions)
 
 
 @R.add(f"{FUSED}, s AS (SELECT *, round(base, 6) AS score FROM base) SELECT id, coalesce(bm25_rank, 0) AS bm25_rank, coalesce(vector_rank, 0) AS vector_rank, score, {ORDERED} AS rank FROM s QUALIFY rank <= 10")
@@ -120,7 +121,7 @@ u AS (SELECT id, score, NULL::BIGINT AS source_id FROM direct UNION ALL SELECT t
 @R.add(f"{RELATED} SELECT id, score, coalesce(source_id, -1) AS source_id, 'dual-path' AS mode, row_number() OVER (ORDER BY score DESC, source_id IS NOT NULL, id) AS rank FROM u QUALIFY rank <= 15")
 def recall_related(spark, d):
     mem = v.memories(spark, d)
-    return fusion.recall(mem, lexical.one_query(mem, QUERY), _near(spark, d), v.links(spark, d)).select("id", "score", F.coalesce("source_id", F.lit(-1)).alias("source_id"), "mode", "rank")
+    return fusion.recall(mem, lexical.one_query(mem, QUERY), _near(spark, d), v.links(spark, d), index=v.lexical_index(spark, d)).select("id", "score", F.coalesce("source_id", F.lit(-1)).alias("source_id"), "mode", "rank")
 
 
 @R.add(f"{FUSED}, s AS (SELECT *, round(base, 6) AS score FROM base), f AS (SELECT id, score, {ORDERED} AS fetched_rank FROM s QUALIFY fetched_rank <= 12) SELECT id, score, fetched_rank, row_number() OVER (ORDER BY score DESC, fetched_rank, id) AS rank FROM f JOIN mem USING (id) WHERE emotion_tag = 'en' QUALIFY rank <= 4")
@@ -174,7 +175,7 @@ PLAIN = "SELECT id, type, score, semantic_score, lexical_score, task_match, feed
 
 
 def _surfaced(spark, d, at, near=None, links=None):
-    return surface.surface(v.memories(spark, d), v.feedback(spark, d), at, near, links)
+    return surface.surface(v.memories(spark, d), v.feedback(spark, d), at, near, links, v.lexical_index(spark, d))
 
 
 @R.add(f"{surface_sql(QUERY, TASK, TURNS, None, True, 20)} {PLAIN}")
@@ -239,8 +240,7 @@ def status_totals(spark, d):
 
 @R.add(f"WITH {v.MEM}, cap(type, capacity) AS (VALUES ('identity', NULL), ('emotion', 50), ('knowledge', 250), ('event', 50)) SELECT type, count(id) AS n, coalesce(capacity, -1)::BIGINT AS capacity FROM cap LEFT JOIN mem USING (type) GROUP BY ALL")
 def status_capacity(spark, d):
-    cap = spark.createDataFrame([("identity", None), ("emotion", 50), ("knowledge", 250), ("event", 50)], "type string, capacity long")
-    return cap.join(v.memories(spark, d).groupBy("type").agg(F.count(F.lit(1)).alias("n")), "type", "left").select("type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("capacity", F.lit(-1)).alias("capacity"))
+    return listing.capacity(v.memories(spark, d), lifecycle.Capacity()).withColumn("capacity", F.coalesce("capacity", F.lit(-1).cast("long")))
 
 
 @R.add(f"WITH {v.MEM} SELECT id, type, priority FROM mem WHERE type = 'knowledge' AND vitality >= 0.3 AND emotion_tag = 'en' ORDER BY priority, updated_at DESC, id LIMIT 30 OFFSET 10")
@@ -262,7 +262,7 @@ def boot_layers(spark, d):
 @R.add(f"WITH {v.MEM}, {v.PTH}, top AS (SELECT id, 0 AS origin FROM mem WHERE agent_id = 'src0' AND priority = 0 ORDER BY priority, updated_at DESC, id LIMIT 100), core AS (SELECT memory_id AS id, 1 AS origin FROM pth WHERE agent_id = 'src0' AND uri LIKE 'core://%') SELECT id, min(origin)::BIGINT AS origin FROM (SELECT * FROM top UNION ALL SELECT * FROM core) JOIN mem USING (id) GROUP BY id")
 def boot_set(spark, d):
     paths = v.paths(spark, d)
-    core = [r["uri"] for r in paths.filter("agent_id = 'src0' and uri like 'core://%'").select("uri").distinct().collect()]
+    core = paths.filter("uri like 'core://%'").select("uri").distinct()
     return listing.boot(v.memories(spark, d), paths, "src0", core).select("id", F.col("origin").cast("long").alias("origin"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import scores, text
+from ..lineage import shared_folder, spread
+from ..operators import index
 from ..schemas import STABILITY
 
 NOW = "2024-03-01 00:00:00"
@@ -90,16 +94,49 @@ def _variant():
 
 
 def incoming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts to be written: passages of documents, and documents again, as they are or with changes; some have an address."""
+    """Texts to be written: all passages (numbered from -1 down), and all documents again, as they are or with changes; some have an address."""
     columns = ["seq", "content", "type", "agent_id", "uri", "source", "created_at"]
     at = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq"), F.col("text").alias("content"), _kind("item_id").alias("type"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("agent_id"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("core://bench/"), F.col("item_id").cast("string"))).alias("uri"), F.lit(None).cast("string").alias("source"), at.alias("created_at"))
-    again = memories(spark, sf_dir).filter("id % 25 = 3").select((F.col("id") + 100000).alias("seq"), _variant().alias("content"), "type", "agent_id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("core://again/"), F.col("id").cast("string"))).alias("uri"), F.lit(None).cast("string").alias("source"), F.col("created_at"))
-    return new.select(columns).unionByName(again.select(columns))
+    new = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("seq"), F.col("text").alias("content"), _kind("item_id").alias("type"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("agent_id"), F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("core://bench/"), F.col("item_id").cast("string"))).alias("uri"), F.lit(None).cast("string").alias("source"), at.alias("created_at"))
+    again = memories(spark, sf_dir).select(F.col("id").alias("seq"), _variant().alias("content"), "type", "agent_id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("core://again/"), F.col("id").cast("string"))).alias("uri"), F.lit(None).cast("string").alias("source"), F.col("created_at"))
+    return new.select(columns).unionByName(spread(again.select(columns)))
+
+
+INC = f"""inc AS (SELECT -1 - item_id AS seq, text AS content, (['identity', 'emotion', 'knowledge', 'event'])[CAST(item_id % 4 + 1 AS INT)] AS type, 'src' || (item_id % 20) AS agent_id, CASE WHEN item_id % 3 = 0 THEN 'core://bench/' || item_id END AS uri, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM benchmark
+  UNION ALL SELECT id, CASE id % 4 WHEN 0 THEN content WHEN 1 THEN content || ' Moreover' WHEN 2 THEN '{PREFIXES[2]}' || content ELSE '{PREFIXES[3]}' || content END, type, agent_id, CASE WHEN id % 3 = 0 THEN 'core://again/' || id END, created_at FROM mem)"""
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of memories, to three of some; some are those that incoming texts have."""
+    mem = memories(spark, sf_dir).select(F.col("id").alias("memory_id"), "agent_id", "created_at")
+    made = lambda every, start, after: mem.filter(F.col("memory_id") % every == 0).select("memory_id", "agent_id", F.concat(F.lit(start), F.col("memory_id").cast("string")).alias("uri"), (F.col("created_at") + F.make_dt_interval(F.lit(after))).alias("created_at"))
+    return paths(spark, sf_dir).select("memory_id", "agent_id", "uri", "created_at").unionByName(made(15, "core://again/", 0)).unionByName(made(6, "knowledge://later/", 1))
+
+
+ADR = """adr AS (SELECT memory_id, agent_id, uri, created_at FROM pth UNION ALL SELECT id, agent_id, 'core://again/' || id, created_at FROM mem WHERE id % 15 = 0
+  UNION ALL SELECT id, agent_id, 'knowledge://later/' || id, created_at + INTERVAL 1 DAY FROM mem WHERE id % 6 = 0)"""
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, id, similarity): of each text that has a vector, the memory four further."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"), F.col("embedding").alias("e"))
+    other = e.select((F.col("seq") - 4).alias("seq"), F.col("seq").alias("id"), F.col("e").alias("o"))
+    return e.join(other, "seq").select("seq", "id", F.round(scores.cosine(F.col("e"), F.col("o")), 4).alias("similarity"))
+
+
+NEAR = """nr AS (SELECT seq, id, round(list_inner_product(e, o) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(o, o))), 4) AS similarity
+  FROM (SELECT a.vec_id AS seq, b.vec_id AS id, CAST(a.embedding AS DOUBLE[]) AS e, CAST(b.embedding AS DOUBLE[]) AS o FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 4))"""
 
 
-INC = f"""inc AS (SELECT item_id AS seq, text AS content, (['identity', 'emotion', 'knowledge', 'event'])[CAST(item_id % 4 + 1 AS INT)] AS type, 'src' || (item_id % 20) AS agent_id, CASE WHEN item_id % 3 = 0 THEN 'core://bench/' || item_id END AS uri, TIMESTAMP '2024-02-01 00:00:00' AS created_at FROM benchmark
-  UNION ALL SELECT id + 100000, CASE id % 4 WHEN 0 THEN content WHEN 1 THEN content || ' Moreover' WHEN 2 THEN '{PREFIXES[2]}' || content ELSE '{PREFIXES[3]}' || content END, type, agent_id, CASE WHEN id % 3 = 0 THEN 'core://again/' || id END, created_at FROM mem WHERE id % 25 = 3)"""
+def lexical_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the memories, stored in the shared folder under the name of the table's present version; built there by the first query that needs it."""
+    files = table(spark, sf_dir, "documents").inputFiles()
+    jvm, told = spark.sparkContext._jvm, hashlib.sha256()
+    for file in sorted(files):
+        path = jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+        told.update(f"{file} {status.getLen()} {status.getModificationTime()}\n".encode())
+    return index.kept(memories(spark, sf_dir), f"{shared_folder(spark).rstrip('/')}/lexical-index-{told.hexdigest()[:20]}")
 
 
 def tokens_sql(name: str, source: str, key: str = "id", column: str = "content") -> str:

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..lineage import spread
 from ..operators import feedback, guard, lifecycle
+from ..schemas import TABLES
 from ..sources import markdown, tables
 from . import views as v
 from .registry import Registry
 
 R = Registry()
+
+
+def _stored(mem):
+    """The memories with the columns that the store has, of their own types but for the missing ones."""
+    return mem.select([F.col(f.name) if f.name in mem.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES["memories"]])
+
+
 NOT_RE = r"(?i)\b(shouldn''t|can''t|won''t|aren''t|isn''t|doesn''t|don''t|cannot|never|not|no)\b"
 CONFLICT_SQL = rf"""(CASE WHEN regexp_matches(a, '{NOT_RE}') <> regexp_matches(b, '{NOT_RE}') THEN 0.4::DOUBLE ELSE 0 END) AS neg,
   (CASE WHEN len(regexp_extract_all(a, '\d+(?:\.\d+)+|\b\d{{2,}}\b')) > 0 AND len(regexp_extract_all(b, '\d+(?:\.\d+)+|\b\d{{2,}}\b')) > 0 AND NOT list_has_any(regexp_extract_all(a, '\d+(?:\.\d+)+|\b\d{{2,}}\b'), regexp_extract_all(b, '\d+(?:\.\d+)+|\b\d{{2,}}\b')) THEN 0.3::DOUBLE ELSE 0 END) AS val,
@@ -20,70 +30,99 @@ CONFLICT_SQL = rf"""(CASE WHEN regexp_matches(a, '{NOT_RE}') <> regexp_matches(b
 
 @R.add(f"WITH {v.MEM}, {v.INC} SELECT seq, EXISTS (SELECT 1 FROM mem m WHERE m.hash = substr(sha256(regexp_replace(inc.content, '^\\s+|\\s+$', '', 'g')), 1, 16) AND m.agent_id = inc.agent_id) AS known FROM inc")
 def exact_dedup(spark, d):
-    inc = v.incoming(spark, d).withColumn("hash", text.content_hash(F.col("content")))
-    known = v.memories(spark, d).select("hash", "agent_id").distinct().withColumn("known", F.lit(True))
-    return inc.join(known, ["hash", "agent_id"], "left").select("seq", F.coalesce("known", F.lit(False)).alias("known"))
+    return guard.known(v.incoming(spark, d), v.memories(spark, d)).select("seq", F.col("same").isNotNull().alias("known"))
 
 
+#: SQL has no pattern for a letter that repeats, so all letters of the texts are named.
+STUCK = "|".join(re.escape(chr(i)).replace("'", "''") + "{10}" for i in (*range(32, 127), *range(161, 592), *range(0x2010, 0x2028), 0x20AC))
 GATE = rf"""g1 AS (SELECT id, priority, regexp_replace(content, '^\s+|\s+$', '', 'g') AS c FROM src), gn AS (SELECT id, count(*) AS n FROM gt GROUP BY id),
 g2 AS (SELECT g1.*, len(c) AS size, coalesce(n, 0) AS n FROM g1 LEFT JOIN gn USING (id)),
 g3 AS (SELECT id, CASE WHEN size >= CASE WHEN priority <= 1 THEN 4 ELSE 20 END THEN least(1.0::DOUBLE, size / 50.0::DOUBLE) ELSE 0 END AS specificity, least(1.0::DOUBLE, n / 5.0::DOUBLE) AS novelty,
   least(1.0::DOUBLE, (regexp_matches(c, '[A-Z][a-z]+')::INT + regexp_matches(c, '\d')::INT + regexp_matches(c, '\w+://')::INT + regexp_matches(c, '[@#]')::INT + (size >= 15)::INT) / 3.0::DOUBLE) AS relevance,
-  greatest(0, 1.0::DOUBLE - 0.5::DOUBLE * (size > 20 AND regexp_full_match(c, '[A-Z\s]+'))::INT - 0.3::DOUBLE * (NOT regexp_matches(c, '[\s,.!?;:]') AND size >= 30)::INT - 0.5::DOUBLE * regexp_matches(c, (SELECT string_agg(ch || '{{10}}', '|') FROM (SELECT unnest(['a', 'b', 'e', 'n', 's', 'A', '=', '-']) AS ch)))::INT) AS coherence FROM g2)"""
-SHORT = "src AS (SELECT id, priority, CASE WHEN id % 5 = 0 THEN substr(content, 1, 12) WHEN id % 5 = 1 THEN repeat('aaaaa', 3) || content WHEN id % 5 = 2 THEN replace(replace(replace(substr(content, 1, 60), ' ', ''), '.', ''), ',', '') WHEN id % 5 = 3 THEN '  ' || substr(content, 1, 3) ELSE content END AS content FROM mem)"
-
-
-def _short(mem):
-    i, c = F.col("id"), F.col("content")
-    bare = F.regexp_replace(F.substring(c, 1, 60), "[ .,]", "")
-    return mem.withColumn("content", F.when(i % 5 == 0, F.substring(c, 1, 12)).when(i % 5 == 1, F.concat(F.lit("a" * 15), c)).when(i % 5 == 2, bare).when(i % 5 == 3, F.concat(F.lit("  "), F.substring(c, 1, 3))).otherwise(c))
+  greatest(0, 1.0::DOUBLE - 0.5::DOUBLE * (size > 20 AND regexp_full_match(c, '[A-Z\s]+'))::INT - 0.3::DOUBLE * (NOT regexp_matches(c, '[\s,.!?;:]') AND size >= 30)::INT - 0.5::DOUBLE * regexp_matches(c, '{STUCK}')::INT) AS coherence FROM g2)"""
 
 
-@R.add(f"WITH {v.MEM}, {SHORT}, {v.tokens_sql('gt', 'src')}, {GATE} SELECT id, round(specificity, 6) AS specificity, round(novelty, 6) AS novelty, round(relevance, 6) AS relevance, round(coherence, 6) AS coherence, specificity > 0 AND novelty > 0 AND relevance > 0 AND coherence >= 0.3 AS pass FROM g3")
+@R.add(f"WITH {v.MEM}, src AS (SELECT id, priority, content FROM mem), {v.tokens_sql('gt', 'src')}, {GATE} SELECT id, round(specificity, 6) AS specificity, round(novelty, 6) AS novelty, round(relevance, 6) AS relevance, round(coherence, 6) AS coherence, specificity > 0 AND novelty > 0 AND relevance > 0 AND coherence >= 0.3 AS pass FROM g3")
 def quality_gate(spark, d):
     told = guard.gate(F.col("content"), F.col("priority"))
-    return _short(v.memories(spark, d)).select("id", *[(F.round(c, 6) if n != "pass" else c).alias(n) for n, c in told.items()])
+    return spread(v.memories(spark, d)).select("id", *[(F.round(c, 6) if n != "pass" else c).alias(n) for n, c in told.items()])
 
 
 ENTITY = r"[A-Z][A-Za-z0-9_-]+|\d+(?:[-/:]\d+)*|[#@][A-Za-z0-9_-]+|[A-Za-z0-9_]+://[^\s]+"
-CAND = f"""WITH {v.MEM}, {v.INC}, {v.TOK}, hashed AS (SELECT *, substr(sha256(regexp_replace(content, '^\\s+|\\s+$', '', 'g')), 1, 16) AS hash FROM inc), same AS (SELECT h.seq, min(m.id) AS same FROM hashed h JOIN mem m USING (hash, agent_id) GROUP BY h.seq),
+DOMAIN = lambda c: f"regexp_extract({c}, '^([a-z]+)://(.+)$', 1)"
+
+
+def cand_sql(full: bool = False, single: str = "") -> str:
+    """CTEs up to `cand`, the candidates of the incoming texts; full: with addresses and vectors. single: a condition on inc, as of one row a text."""
+    more = f", {v.PTH}, {v.ADR}, {v.NEAR}, la AS (SELECT memory_id AS id, max_by(uri, created_at) AS old_uri FROM adr GROUP BY memory_id), taken AS (SELECT inc.seq, min(adr.memory_id) AS at_uri FROM inc JOIN adr USING (agent_id, uri) GROUP BY inc.seq)" if full else ", la AS (SELECT NULL::BIGINT AS id, NULL::VARCHAR AS old_uri), taken AS (SELECT NULL::BIGINT AS seq, NULL::BIGINT AS at_uri WHERE false)"
+    recalled = f"""b2 AS (SELECT coalesce(b1.query_id, nr.seq) AS seq, coalesce(b1.id, nr.id) AS id, similarity, row_number() OVER (PARTITION BY coalesce(b1.query_id, nr.seq) ORDER BY round(coalesce(0.45::DOUBLE / (60 + rank), 0) + CASE WHEN nr.id IS NULL THEN 0 ELSE 0.45::DOUBLE / 61 END + 0.05::DOUBLE * {v.PRIOR} + 0.05::DOUBLE * vitality, 6) DESC, updated_at DESC, mem.id) AS r
+  FROM b1 FULL JOIN nr ON b1.query_id = nr.seq AND b1.id = nr.id JOIN mem ON mem.id = coalesce(b1.id, nr.id) QUALIFY r <= 8)""" if full else f"b2 AS (SELECT query_id AS seq, id, NULL::DOUBLE AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(b1.score * {v.WEIGHT} * greatest(0.1::DOUBLE, vitality), 6) DESC, rank, id) AS r FROM b1 JOIN mem USING (id) QUALIFY r <= 8)"
+    return f"""WITH {v.MEM}, {v.INC.replace('inc AS (', 'inc0 AS (', 1)}, inc AS (SELECT * FROM inc0 {single}), {v.TOK}{more}, hashed AS (SELECT *, substr(sha256(regexp_replace(content, '^\\s+|\\s+$', '', 'g')), 1, 16) AS hash FROM inc), same AS (SELECT h.seq, min(m.id) AS same FROM hashed h JOIN mem m USING (hash, agent_id) GROUP BY h.seq),
 src AS (SELECT seq AS id, CASE type WHEN 'identity' THEN 0 WHEN 'emotion' THEN 1 WHEN 'knowledge' THEN 2 ELSE 3 END AS priority, content FROM inc), {v.tokens_sql('gt', 'src')}, {GATE},
-ok AS (SELECT seq, content, type, agent_id, uri, created_at FROM inc JOIN g3 ON g3.id = seq WHERE seq NOT IN (SELECT seq FROM same) AND specificity > 0 AND novelty > 0 AND relevance > 0 AND coherence >= 0.3),
+fit AS (SELECT seq FROM inc JOIN g3 ON g3.id = seq WHERE specificity > 0 AND novelty > 0 AND relevance > 0 AND coherence >= 0.3),
+ok AS (SELECT seq, content, type, agent_id, uri, created_at FROM inc WHERE seq IN (SELECT seq FROM fit) AND seq NOT IN (SELECT seq FROM same) AND seq NOT IN (SELECT seq FROM taken)),
 q0 AS (SELECT seq AS query_id, content AS query FROM ok), {v.bm25_sql('bm', 'q0')},
 b1 AS (SELECT query_id, bm.id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, bm.id) AS rank FROM bm JOIN ok ON ok.seq = query_id JOIN mem ON mem.id = bm.id AND mem.agent_id = ok.agent_id QUALIFY rank <= 8),
-b2 AS (SELECT query_id AS seq, id, row_number() OVER (PARTITION BY query_id ORDER BY round(b1.score * {v.WEIGHT} * greatest(0.1::DOUBLE, vitality), 6) DESC, rank, id) AS r FROM b1 JOIN mem USING (id) QUALIFY r <= 8),
-pairs AS (SELECT b2.seq, b2.id FROM b2 JOIN ok USING (seq) JOIN mem USING (id) WHERE mem.type = ok.type), {v.overlap_sql('lo', 'gt', 'tok', 'pairs', 'seq', 'id')},
+{recalled},
+pairs AS (SELECT b2.seq, b2.id, similarity FROM b2 JOIN ok USING (seq) JOIN mem USING (id) WHERE mem.type = ok.type), {v.overlap_sql('lo', 'gt', 'tok', 'pairs', 'seq', 'id')},
 ea AS (SELECT DISTINCT seq AS id, unnest(regexp_extract_all(content, '{ENTITY}')) AS token FROM ok), eb AS (SELECT DISTINCT id, unnest(regexp_extract_all(content, '{ENTITY}')) AS token FROM mem WHERE id IN (SELECT id FROM pairs)), {v.overlap_sql('eo', 'ea', 'eb', 'pairs', 'seq', 'id')},
-full_ AS (SELECT seq, id, lo.overlap AS lexical, greatest(eo.overlap, 0.75::DOUBLE * lo.overlap) AS entity, CASE WHEN ok.uri IS NULL THEN 0.65::DOUBLE ELSE 0.2::DOUBLE END AS uri_match,
-  CASE WHEN ok.type <> 'event' THEN 1.0::DOUBLE ELSE greatest(0, least(1, 1 - abs((epoch_us(mem.created_at) - epoch_us(ok.created_at)) / 86400000000.0::DOUBLE) / 7)) END AS time, ok.content AS a, mem.content AS b, ok.type, ok.uri FROM lo JOIN eo USING (seq, id) JOIN ok USING (seq) JOIN mem USING (id)),
-scored AS (SELECT *, round(0.50::DOUBLE * lexical + 0.20::DOUBLE * lexical + 0.15::DOUBLE * uri_match + 0.10::DOUBLE * entity + 0.05::DOUBLE * time, 6) AS dedup_score FROM full_),
+full_ AS (SELECT seq, id, lo.overlap AS lexical, CASE WHEN lo.similarity IS NULL THEN lo.overlap ELSE greatest(0, least(1, lo.similarity)) END AS semantic, greatest(eo.overlap, 0.75::DOUBLE * lo.overlap) AS entity,
+  CASE WHEN ok.uri IS NULL AND old_uri IS NULL THEN 0.65::DOUBLE WHEN ok.uri IS NULL OR old_uri IS NULL THEN 0.2::DOUBLE WHEN ok.uri = old_uri THEN 1.0::DOUBLE WHEN {DOMAIN('ok.uri')} = {DOMAIN('old_uri')} THEN 0.85::DOUBLE ELSE 0.0::DOUBLE END AS uri_match,
+  CASE WHEN ok.type <> 'event' THEN 1.0::DOUBLE ELSE greatest(0, least(1, 1 - abs((epoch_us(mem.created_at) - epoch_us(ok.created_at)) / 86400000000.0::DOUBLE) / 7)) END AS time, ok.content AS a, mem.content AS b, ok.type, ok.uri FROM lo JOIN eo USING (seq, id) JOIN ok USING (seq) JOIN mem USING (id) LEFT JOIN la USING (id)),
+scored AS (SELECT *, round(0.50::DOUBLE * semantic + 0.20::DOUBLE * lexical + 0.15::DOUBLE * uri_match + 0.10::DOUBLE * entity + 0.05::DOUBLE * time, 6) AS dedup_score FROM full_),
 con AS (SELECT *, {CONFLICT_SQL} FROM scored),
-cand AS (SELECT *, CASE WHEN dedup_score >= 0.6 AND neg + val + sta > 0.5 THEN CASE WHEN sta > 0 THEN 'status' WHEN val > 0 THEN 'value' ELSE 'negation' END END AS conflict_type FROM con)"""
+cand AS (SELECT *, CASE WHEN dedup_score >= 0.6 AND neg + val + sta > 0.5 THEN CASE WHEN sta > 0 THEN 'status' WHEN val > 0 THEN 'value' ELSE 'negation' END END AS conflict_type FROM con),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY seq ORDER BY dedup_score DESC, id) = 1),
+told AS (SELECT inc.seq, CASE WHEN same.seq IS NOT NULL THEN 'skip' WHEN taken.seq IS NOT NULL THEN 'update' WHEN ok.seq IS NULL THEN 'skip' WHEN dedup_score >= 0.93 THEN CASE WHEN conflict_type IN ('status', 'value') OR inc.uri IS NOT NULL THEN 'update' ELSE 'skip' END WHEN dedup_score >= 0.82 THEN 'merge' ELSE 'add' END AS action,
+  CASE WHEN same.seq IS NOT NULL THEN 'hash' WHEN taken.seq IS NOT NULL THEN 'uri' WHEN ok.seq IS NULL THEN 'gate' ELSE 'candidates' END AS step, coalesce(CASE WHEN same.seq IS NOT NULL THEN same.same WHEN taken.seq IS NOT NULL THEN at_uri WHEN dedup_score >= 0.82 THEN best.id END, -1) AS target_id, coalesce(dedup_score, -1) AS dedup_score
+  FROM inc LEFT JOIN same USING (seq) LEFT JOIN taken USING (seq) LEFT JOIN ok USING (seq) LEFT JOIN best USING (seq))"""
+
+
+CAND, FULL = cand_sql(), cand_sql(True)
 
 
 def _open(spark, d):
-    inc, mem = v.incoming(spark, d), v.memories(spark, d)
-    rows = inc.withColumn("hash", text.content_hash(F.col("content"))).join(mem.select("hash", "agent_id"), ["hash", "agent_id"], "left_anti")
-    return rows.filter(guard.gate(F.col("content"), guard.default_priority(F.col("type")))["pass"]).drop("hash"), mem
+    mem = v.memories(spark, d)
+    rows = guard.known(v.incoming(spark, d), mem).filter("same is null")
+    return rows.filter(guard.gate(F.col("content"), guard.default_priority(F.col("type")))["pass"]).drop("hash", "same"), mem
 
 
 @R.add(f"{CAND} SELECT seq, id, round(lexical, 6) AS lexical, round(entity, 6) AS entity, uri_match, round(time, 6) AS time, dedup_score FROM cand")
 def dedup_score(spark, d):
-    return guard.candidates(*_open(spark, d)).select("seq", "id", "lexical", "entity", "uri_match", "time", "dedup_score")
+    return guard.candidates(*_open(spark, d), index=v.lexical_index(spark, d)).select("seq", "id", "lexical", "entity", "uri_match", "time", "dedup_score")
 
 
-@R.add(f"""{CAND}, best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY seq ORDER BY dedup_score DESC, id) = 1)
-SELECT inc.seq, CASE WHEN same.seq IS NOT NULL THEN 'skip' WHEN ok.seq IS NULL THEN 'skip' WHEN dedup_score >= 0.93 THEN CASE WHEN conflict_type IN ('status', 'value') OR inc.uri IS NOT NULL THEN 'update' ELSE 'skip' END WHEN dedup_score >= 0.82 THEN 'merge' ELSE 'add' END AS action,
-  CASE WHEN same.seq IS NOT NULL THEN 'hash' WHEN ok.seq IS NULL THEN 'gate' ELSE 'candidates' END AS step, coalesce(CASE WHEN same.seq IS NOT NULL THEN same.same WHEN dedup_score >= 0.82 THEN best.id END, -1) AS target_id, coalesce(dedup_score, -1) AS dedup_score FROM inc LEFT JOIN same USING (seq) LEFT JOIN ok USING (seq) LEFT JOIN best USING (seq)""")
-def guard_decision(spark, d):
-    told = guard.decide(v.incoming(spark, d), v.memories(spark, d))
+def _decided(told):
     return told.select("seq", "action", "step", F.coalesce("target_id", F.lit(-1)).alias("target_id"), F.coalesce("dedup_score", F.lit(-1.0)).alias("dedup_score"))
 
 
-@R.add(f"{CAND}, own AS (SELECT seq, id AS other, dedup_score FROM cand WHERE dedup_score >= 0.45 AND dedup_score < 0.82 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY dedup_score DESC, id) <= 5), both_ AS (SELECT seq + 1000000 AS source_id, other AS target_id, dedup_score AS weight FROM own UNION ALL SELECT other, seq + 1000000, dedup_score FROM own) SELECT source_id, target_id, max(weight) AS weight FROM both_ GROUP BY ALL")
+@R.add(f"{CAND} SELECT * FROM told")
+def guard_decision(spark, d):
+    return _decided(guard.decide(v.incoming(spark, d), v.memories(spark, d), index=v.lexical_index(spark, d)))
+
+
+@R.add(f"{FULL} SELECT * FROM told")
+def guard_with_addresses(spark, d):
+    """The same with the addresses of memories and vectors of some texts at hand."""
+    return _decided(guard.decide(v.incoming(spark, d), v.memories(spark, d), v.addresses(spark, d), v.vector_pairs(spark, d), index=v.lexical_index(spark, d)))
+
+
+@R.add(f"{FULL} SELECT seq, id, round(semantic, 6) AS semantic, round(lexical, 6) AS lexical, uri_match, dedup_score FROM cand")
+def dedup_with_addresses(spark, d):
+    rows, mem = _open(spark, d)
+    paths = v.addresses(spark, d)
+    free = rows.join(paths.select("agent_id", "uri"), ["agent_id", "uri"], "left_anti")
+    return guard.candidates(free, mem, paths, v.vector_pairs(spark, d), index=v.lexical_index(spark, d)).select("seq", "id", "semantic", "lexical", "uri_match", "dedup_score")
+
+
+#: Ids of new memories in the queries of links: far above those of the tables.
+BEYOND = 10**15
+
+
+@R.add(f"{CAND}, own AS (SELECT seq, id AS other, dedup_score FROM cand WHERE dedup_score >= 0.45 AND dedup_score < 0.82 QUALIFY row_number() OVER (PARTITION BY seq ORDER BY dedup_score DESC, id) <= 5), both_ AS (SELECT seq + {BEYOND} AS source_id, other AS target_id, dedup_score AS weight FROM own UNION ALL SELECT other, seq + {BEYOND}, dedup_score FROM own) SELECT source_id, target_id, max(weight) AS weight FROM both_ GROUP BY ALL")
 def auto_links(spark, d):
     rows, mem = _open(spark, d)
-    return guard.auto_links(guard.candidates(rows, mem), rows.select("seq", (F.col("seq") + 1000000).alias("id")))
+    return guard.auto_links(guard.candidates(rows, mem, index=v.lexical_index(spark, d)), rows.select("seq", (F.col("seq") + BEYOND).alias("id")))
 
 
 PAIRS = "p AS (SELECT a.id, a.content || ' value 10 ' AS a, CASE WHEN b.id % 3 = 0 THEN b.content || ' not done 2.5' WHEN b.id % 3 = 1 THEN 'WIP todo 10' ELSE b.content END AS b0, b.id AS other FROM mem a JOIN mem b ON b.id = a.id + 1), p2 AS (SELECT id, CASE WHEN id % 2 = 0 THEN a || ' DONE' ELSE a END AS a, b0 AS b FROM p)"
@@ -173,7 +212,7 @@ RED = f"{v.TOK}, rw AS (SELECT id, type FROM mem WHERE priority > 0 AND trim(con
 
 @R.add(f"WITH {v.MEM}, {RED} SELECT id, round(redundancy, 6) AS redundancy FROM red")
 def redundancy(spark, d):
-    return lifecycle.redundancy(v.memories(spark, d).filter("priority > 0 and trim(content) <> ''")).withColumn("redundancy", F.round("redundancy", 6))
+    return lifecycle.redundancy(v.memories(spark, d).filter("priority > 0 and trim(content) <> ''"), index=v.lexical_index(spark, d)).withColumn("redundancy", F.round("redundancy", 6))
 
 
 EVI = f"{v.FB}, {RED}, pen AS (SELECT memory_id, 1 - avg(value) AS penalty FROM fb GROUP BY memory_id), evi AS (SELECT mem.id, type, priority, round(redundancy, 6) AS redundancy, round(coalesce(penalty, 1), 6) AS penalty, round(0.40::DOUBLE * (1 - vitality) + 0.20::DOUBLE * redundancy + 0.20::DOUBLE * least(1, greatest(0, (epoch_us(TIMESTAMP '{v.NOW}') - epoch_us(created_at)) / 86400000000.0::DOUBLE) / 180) + 0.10::DOUBLE * coalesce(penalty, 1) + 0.10::DOUBLE * priority / 3, 6) AS score FROM mem JOIN red USING (id) LEFT JOIN pen ON memory_id = mem.id)"
@@ -181,7 +220,7 @@ EVI = f"{v.FB}, {RED}, pen AS (SELECT memory_id, 1 - avg(value) AS penalty FROM
 
 def _evictable(spark, d):
     mem = v.memories(spark, d)
-    return mem, lifecycle.eviction(mem, feedback.penalty(v.feedback(spark, d)), v.NOW)
+    return mem, lifecycle.eviction(mem, feedback.penalty(v.feedback(spark, d)), v.NOW, v.lexical_index(spark, d))
 
 
 @R.add(f"WITH {v.MEM}, {EVI} SELECT id, type, redundancy, penalty, score FROM evi")
@@ -205,9 +244,13 @@ def govern_global_cap(spark, d):
     return lifecycle.evicted(mem, ranked, lifecycle.Capacity(SMALLER, 350))
 
 
-@R.add(f"WITH {v.MEM} SELECT id, CASE WHEN vitality < 0.1 THEN 'deleted' ELSE 'archived' END AS fate FROM mem WHERE id % 4 = 3")
+@R.add(f"WITH {v.MEM} SELECT id, CASE WHEN vitality < 0.1 THEN 'deleted' ELSE 'archived' END AS fate FROM mem")
 def archive_split(spark, d):
-    return lifecycle.archive_split(v.memories(spark, d).filter("id % 4 = 3")).select("id", "fate")
+    """The fate of each memory, were all evicted at once."""
+    mem = _stored(v.memories(spark, d))
+    left, archive = tables.archive(mem, mem.filter("false").withColumns({"archived_at": F.col("updated_at"), "archive_reason": F.lit("")}), mem.select("id"), v.NOW)
+    gone = mem.select("id").join(left.select("id"), "id", "left_anti")
+    return gone.join(archive.select("id", F.lit("archived").alias("fate")), "id", "left").select("id", F.coalesce("fate", F.lit("deleted")).alias("fate"))
 
 
 @R.add(f"WITH {v.MEM}, {v.PTH} SELECT id, memory_id FROM pth WHERE memory_id NOT IN (SELECT id FROM mem)")
@@ -215,9 +258,9 @@ def orphan_paths(spark, d):
     return lifecycle.orphan_paths(v.paths(spark, d), v.memories(spark, d)).select("id", "memory_id")
 
 
-@R.add(f"WITH {v.PTH} SELECT memory_id % 100 AS memory_id, max_by(uri, created_at) AS uri FROM pth GROUP BY memory_id % 100")
+@R.add(f"WITH {v.MEM}, {v.PTH}, {v.ADR} SELECT memory_id, max_by(uri, created_at) AS uri FROM adr GROUP BY memory_id")
 def latest_uri(spark, d):
-    return v.paths(spark, d).groupBy((F.col("memory_id") % 100).alias("memory_id")).agg(F.max_by("uri", "created_at").alias("uri"))
+    return guard.latest_uri(v.addresses(spark, d))
 
 
 @R.add(f"WITH {v.LNK}, l AS (SELECT DISTINCT * FROM lnk), new AS (SELECT target_id AS source_id, source_id AS target_id, 0.5::DOUBLE AS weight FROM l WHERE weight > 0.5), u AS (SELECT *, 0 AS o FROM l UNION ALL SELECT *, 1 FROM new) SELECT source_id, target_id, arg_min(weight, o) AS weight FROM u GROUP BY ALL")

@@ -13,7 +13,7 @@ DOMAINS = ("core", "emotion", "knowledge", "event", "system")
 
 
 def _struct(text: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "t": T.TimestampType(), "v": T.ArrayType(T.FloatType())}
+    kinds = {"s": T.StringType(), "i": T.IntegerType(), "d": T.DoubleType(), "t": T.TimestampType(), "v": T.ArrayType(T.FloatType()), "a": T.ArrayType(T.StringType())}
     return T.StructType([T.StructField(name, kinds[kind[0]], kind[-1] != "!") for name, kind in (part.split(":") for part in text.split())])
 
 
@@ -28,6 +28,11 @@ TABLES: dict[str, T.StructType] = {
     "feedback_events": _struct("id:s! memory_id:s! source:s! useful:i! agent_id:s! event_type:s! value:d! created_at:t!"),
     "memory_archive": _struct(_MEMORY + " archived_at:t! archive_reason:s!"),
 }
+#: What is made from the memories: the lexical index.
+DERIVED: dict[str, T.StructType] = {
+    "lexical_tokens": _struct("id:s! agent_id:s tokens:a"),
+    "lexical_postings": _struct("id:s! agent_id:s dl:i pos:i term:s"),
+}
 #: Keys that must be unique, by table.
 KEYS = {"memories": ("id",), "paths": ("agent_id", "uri"), "links": ("agent_id", "source_id", "target_id"), "embeddings": ("memory_id", "provider_id"), "feedback_events": ("id",), "memory_archive": ("id",), "maintenance_jobs": ("job_id",)}
 #: Columns that name a memory; rows go when the memory goes.

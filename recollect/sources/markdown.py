@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-#: Lines that tell the state of a machine, not anything to remember.
+#: Lines that tell the state of a machine, not anything to remember. The words of this list and of the others like it
+#: (conflicts, stale content, hints of intent) are behaviour that users know, not free to choose.
 NOISE = (
-    "(?i)heartbeat_ok", "session_status", "(?i)[a-z]*claw (?:update status|security audit|gateway status|status)", r"cron 会话[^\n\r]*\d+k", "轻量复查", "距上次心跳", r"PR\s*#\d+\s*(?:状态无变化|无变化)", "基线(?:仍|不变|未变)",
+    "(?i)heartbeat_ok", "session_status", r"cron 会话[^\n\r]*\d+k", "轻量复查", "距上次心跳", r"PR\s*#\d+\s*(?:状态无变化|无变化)", "基线(?:仍|不变|未变)",
     r"仍为[^\n\r]*critical", "没有新增状态变化", "没有紧急", "危险区协议", "继续安静", "深夜时段", "无紧急", "无变化", r"无新[^\n\r]{0,4}(?:进展|事项|变化|delta)", "不打扰", "安静待命", "安静模式",
 )
 
 
-def noise(line: Column) -> Column:
+def noise(line: Column, product: str = "") -> Column:
+    """product: the name of the assistant whose own status lines are noise too, if any."""
     out = F.lit(False)
-    for pattern in NOISE:
+    for pattern in (*NOISE, *([rf"(?i){product} (?:update status|security audit|gateway status|status)"] if product else [])):
         out = out | text.matches(line, pattern)
     return out
 
@@ -31,7 +33,7 @@ def bullets(files: DataFrame) -> DataFrame:
     """(file, title, type, block, line, content): the lines of each section with a body, bullets stripped."""
     sections = files.select("file", F.posexplode(F.split("text", r"(?m)^##\s+")).alias("block", "section")).filter(text.stripped(F.col("section")) != "")
     title = F.coalesce(F.nullif(text.stripped(F.split("section", "\n")[0]), F.lit("")), F.lit("knowledge"))
-    body = F.array_join(F.slice(F.split("section", "\n"), 2, 1_000_000), "\n")
+    body = F.array_join(F.slice(F.split("section", "\n"), F.lit(2), F.size(F.split("section", "\n"))), "\n")
     parts = F.filter(F.transform(F.split(body, r"\n+"), lambda x: text.stripped(F.regexp_replace(x, r"^[-*]\s*", ""))), lambda x: x != "")
     lines = sections.select("file", "block", title.alias("title"), F.posexplode(parts).alias("line", "content"))
     return lines.select("file", "title", kind_of(F.col("title")).alias("type"), "block", "line", "content")
@@ -60,7 +62,7 @@ def import_directory(spark: SparkSession, path: str) -> DataFrame:
     main = files.filter(F.col("file").isin("MEMORY.md", "MEMORY.qmd") & (F.col("folder") != "weekly"))
     main = main.withColumn("_n", F.row_number().over(Window.partitionBy("folder").orderBy("file"))).filter("_n = 1")  # .md before .qmd
     parts = main.select("file", F.explode(F.split("text", "(?m)^## ")).alias("section")).filter(text.stripped(F.col("section")) != "")
-    title, body = text.stripped(F.split("section", "\n")[0]), text.stripped(F.array_join(F.slice(F.split("section", "\n"), 2, 1_000_000), "\n"))
+    title, body = text.stripped(F.split("section", "\n")[0]), text.stripped(F.array_join(F.slice(F.split("section", "\n"), F.lit(2), F.size(F.split("section", "\n"))), "\n"))
     about = F.contains(F.lower(title), F.lit("about")) | F.contains(title, F.lit("关于"))
     sections_ = parts.filter(body != "").select(F.concat(F.lit("## "), title, F.lit("\n"), body).alias("content"), F.when(about, "identity").otherwise("knowledge").alias("type"), F.concat(F.lit("knowledge://memory-md/"), slug(title)).alias("uri"), F.concat(F.lit("migrate:"), F.col("file")).alias("source"))
     daily = files.filter(F.col("file").rlike(r"^\d{4}-\d{2}-\d{2}\.q?md$") & (F.col("folder") != "weekly")).select(F.col("text").alias("content"), F.lit("event").alias("type"), F.concat(F.lit("event://journal/"), bare).alias("uri"), F.concat(F.lit("migrate:"), F.col("file")).alias("source"))
@@ -84,6 +86,27 @@ def sections(memories: DataFrame, agent: str, most: int = 100) -> DataFrame:
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(line))["line"], "\n").alias("body"))
 
 
+def recent(surfaced: DataFrame, memories: DataFrame, since: str, now: str, limit: int = 50) -> DataFrame:
+    """(type, line_no, line) of surfaced (id, rank) memories updated since: a list line each, by type, in order of rank."""
+    from ..functions import scores
+
+    rows = surfaced.select("id", "rank").join(memories.select("id", "type", "content", "updated_at", "emotion_tag"), "id").filter(F.col("updated_at") >= scores.instant(since)).orderBy("rank").limit(limit)
+    when = scores.relative_date(F.col("updated_at"), now)
+    meta = F.when((F.col("type") == "emotion") & (F.col("emotion_tag") != ""), F.concat(F.lit("("), "emotion_tag", F.lit(", "), when, F.lit(")"))).otherwise(F.concat(F.lit("("), when, F.lit(")")))
+    number = F.row_number().over(Window.partitionBy("type").orderBy("rank")).cast("long")
+    return rows.select("type", number.alias("line_no"), F.concat(F.lit("- "), text.first_line(F.col("content")), F.lit(" "), meta).alias("line"))
+
+
+def recent_file(lines: DataFrame, now: str) -> str:
+    """The document of those lines, at most as many as were asked for."""
+    titles, found = {"identity": "Identity", "emotion": "Emotion", "knowledge": "Knowledge", "event": "Events"}, lines.orderBy("type", "line_no").collect()
+    parts = ["# Recent Memories\n", f"> Last updated: {now}\n"]
+    for kind, title in titles.items():
+        own = [r["line"] for r in found if r["type"] == kind]
+        parts += [f"## {title}", *own, ""] if own else []
+    return "\n".join(parts)
+
+
 def export(memories: DataFrame, agent: str, folder: str) -> list[str]:
     """Writes the memory file and the journals of an agent to a local folder; the files' names.
 

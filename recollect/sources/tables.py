@@ -1,27 +1,35 @@
 """Tables on disk as versioned Parquet snapshots, and the changes made to them as DataFrame functions.
 
-<root>/<table>/v=<n>/ holds a version; <root>/manifest.json names the current one of every table. A
-commit writes new versions of all changed tables first and then replaces the manifest, so readers see all
-of a change or none, and a failed job leaves the store as it was.
+<root>/<table>/v=<n>/ holds a version; the manifest of the highest number, <root>/manifest-<n>.json, names
+the current one of every table. A commit writes new versions of all changed tables first and then the
+next manifest, which only one writer can; so readers see all of a change or none, a failed job leaves the
+store as it was, and of two writers the later one fails.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scores, text
-from ..schemas import CHILDREN, DOMAINS, KEYS, STABILITY, TABLES, VERSION
+from ..schemas import CHILDREN, DERIVED, DOMAINS, KEYS, STABILITY, TABLES, VERSION
 
 
 class ConflictError(Exception):
     """A change would break a key, or was made on an outdated version."""
 
 
+def _schema(name: str) -> T.StructType:
+    return TABLES[name] if name in TABLES else DERIVED[name]
+
+
 class Store:
     """A store under a root that every executor can reach."""
 
@@ -30,26 +38,39 @@ class Store:
         jvm = spark.sparkContext._jvm
         self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
         self._fs = self._path("x").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not self._fs.exists(self._path("manifest.json")):
-            self._save({"schema": VERSION, "versions": {}})
-
-    def _save(self, manifest: dict) -> None:
-        """By writing another file and renaming it over the old one."""
-        jvm, new = self.spark.sparkContext._jvm, self._path("manifest.json.new")
-        out = self._fs.create(new, True)
+        if not self._numbers():
+            self._save({"schema": VERSION, "versions": {}}, 0)
+
+    def _numbers(self) -> list[int]:
+        found = self._fs.globStatus(self._path("manifest-*.json")) or []
+        return sorted(int(re.findall(r"manifest-(\d+)\.json$", f.getPath().getName())[0]) for f in found)
+
+    def _save(self, manifest: dict, number: int) -> None:
+        """As a file of another name, then renamed; the number must be free. Some older ones stay for readers."""
+        context = self.spark.sparkContext
+        new, there = self._path(f"manifest.new-{uuid.uuid4().hex}"), self._path(f"manifest-{number}.json")
+        out = self._fs.create(new, False)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        rename = getattr(jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 1)
-        options[0] = rename
-        context.rename(context.makeQualified(new), context.makeQualified(self._path("manifest.json")), options)
+        files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), context._jsc.hadoopConfiguration())
+        none = context._gateway.new_array(getattr(context._jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+        try:
+            files.rename(files.makeQualified(new), files.makeQualified(there), none)
+        except Exception as e:
+            self._fs.delete(new, False)
+            raise ConflictError("the store changed meanwhile") from e
+        for old in self._numbers()[:-20]:
+            self._fs.delete(self._path(f"manifest-{old}.json"), False)
 
     @property
     def manifest(self) -> dict:
-        stream = self._fs.open(self._path("manifest.json"))
+        return self._current()[1]
+
+    def _current(self) -> tuple[int, dict]:
+        number = self._numbers()[-1]
+        stream = self._fs.open(self._path(f"manifest-{number}.json"))
         try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return number, json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
@@ -57,25 +78,30 @@ class Store:
         """The current version, empty where there is none. Conditions on it reach the Parquet scan."""
         version = self.manifest["versions"].get(name)
         if version is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v={version}")
+            return self.spark.createDataFrame([], _schema(name))
+        return self.spark.read.schema(_schema(name)).parquet(f"{self.root}/{name}/v={version}")
 
     def commit(self, changes: Mapping[str, DataFrame], check: bool = True) -> None:
         """Writes new versions of the tables, checks their keys, and makes them current together."""
-        before = self.manifest
+        number, before = self._current()
         versions = dict(before["versions"])
         for name, df in changes.items():
             version = versions.get(name, 0) + 1
             while self._fs.exists(self._path(name, f"v={version}")):  # left by a commit that failed
                 version += 1
-            df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name]]).write.parquet(f"{self.root}/{name}/v={version}")
+            df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in _schema(name)]).write.parquet(f"{self.root}/{name}/v={version}")
             versions[name] = version
             if check:
-                written = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{name}/v={version}")
+                written = self.spark.read.schema(_schema(name)).parquet(f"{self.root}/{name}/v={version}")
                 self._check(name, written)
-        if self.manifest != before:
-            raise ConflictError("the store changed meanwhile")
-        self._save({"schema": VERSION, "versions": versions})
+        indexed = versions.get("memories") if {"lexical_tokens", "lexical_postings"} <= changes.keys() else before.get("indexed")
+        self._save({"schema": VERSION, "versions": versions, "indexed": indexed}, number + 1)
+
+    @property
+    def indexed(self) -> bool:
+        """Whether the stored lexical index is that of the current memories."""
+        told = self.manifest
+        return told.get("indexed") is not None and told["indexed"] == told["versions"].get("memories")
 
     @staticmethod
     def _check(name: str, df: DataFrame) -> None:
@@ -164,10 +190,49 @@ def insert_or_replace(old: DataFrame, new: DataFrame, key: Sequence[str]) -> Dat
 
 
 def create_paths(paths: DataFrame, new: DataFrame, memories: DataFrame) -> DataFrame:
-    """paths and those of new (id, memory_id, agent_id, uri, alias, created_at) that are valid.
+    """paths and those of new (id, memory_id, agent_id, uri, alias, created_at) that are valid; see rejected_paths for the others."""
+    told = _judged_paths(paths, new, memories)
+    return paths.unionByName(told.filter("reason is null").select(paths.columns))
+
+
+def rejected_paths(paths: DataFrame, new: DataFrame, memories: DataFrame) -> DataFrame:
+    """Of new those that can't be created, with the reason: domain, memory, agent or taken."""
+    return _judged_paths(paths, new, memories).filter("reason is not null").select(*new.columns, "reason")
 
-    Valid: a known domain, an existing memory of the agent, and an address that the agent doesn't use.
+
+def _judged_paths(paths: DataFrame, new: DataFrame, memories: DataFrame) -> DataFrame:
+    """new with `domain` and `reason`: null for a known domain, an existing memory of the agent, and an address that the agent doesn't use."""
+    owner = memories.select(F.col("id").alias("memory_id"), F.col("agent_id").alias("_owner"))
+    used = paths.select("agent_id", "uri").distinct().withColumn("_used", F.lit(True))
+    rows = new.withColumn("domain", text.uri_domain(F.col("uri"))).join(owner, "memory_id", "left").join(used, ["agent_id", "uri"], "left")
+    known = F.coalesce(F.col("domain").isin(*DOMAINS), F.lit(False))
+    reason = F.when(~known, "domain").when(F.col("_owner").isNull(), "memory").when(F.col("_owner") != F.col("agent_id"), "agent").when(F.col("_used"), "taken")
+    first = Window.partitionBy("agent_id", "uri", F.col("reason").isNull()).orderBy("id")
+    rows = rows.withColumn("reason", reason)
+    return rows.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(first) > 1), "taken").otherwise(F.col("reason"))).drop("_owner", "_used")
+
+
+def delete_paths(paths: DataFrame, ids: DataFrame | None = None, memories: DataFrame | None = None) -> DataFrame:
+    """paths without those of `ids` (id) and without those that lead to `memories` (id)."""
+    for some, column in ((ids, "id"), (memories, "memory_id")):
+        if some is not None:
+            paths = paths.join(some.select(F.col("id").alias(column)).distinct(), column, "left_anti").select(paths.columns)
+    return paths
+
+
+#: What a partial update can't change: `hash` and `updated_at` follow.
+FIXED = ("id", "hash", "updated_at", "created_at")
+
+
+def update(memories: DataFrame, changes: DataFrame, now: datetime | str) -> DataFrame:
+    """memories with the columns of changes (id and any others) where those aren't null; a new content is hashed anew, updated_at moves.
+
+    Vectors of changed contents are pended by vector.after_change, index entries made anew by index.changed.
     """
-    rows = new.withColumn("domain", text.uri_domain(F.col("uri"))).filter(F.col("domain").isin(*DOMAINS))
-    rows = rows.join(memories.select(F.col("id").alias("memory_id"), "agent_id"), ["memory_id", "agent_id"], "left_semi")
-    return insert_or_ignore(paths, rows.select(paths.columns), ["agent_id", "uri"])
+    own = [c for c in changes.columns if c not in FIXED]
+    joined = memories.join(changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in own]), "id", "left")
+    new = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in own}
+    if "content" in own:
+        new["hash"] = F.when(F.col("_content").isNotNull(), text.content_hash(F.col("_content"))).otherwise(F.col("hash"))
+    new["updated_at"] = F.when(F.col("_hit"), scores.instant(now)).otherwise(F.col("updated_at"))
+    return joined.withColumns(new).select(memories.columns)
