@@ -21,10 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     """Edges (u, v) of any orderable type to (node, root): root is the least node of its component.
 
     Nodes without an edge aren't listed; self loops, repeated and reversed edges are harmless, and
-    edges with a null end are ignored.
+    edges with a null end are ignored. No edges give no rows.
     """
+    return joined(edges)[0]
+
+
+def joined(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Like components, and with it (node, n_links): to how many others each node has an edge."""
     ends = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("u") == F.col("v")).alias("loop"))
     edges = settle(ends.filter(~F.col("loop")).select("u", "v").distinct())
+    links = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     before = _fingerprint(edges)
     per_u = Window.partitionBy("u")
     while before[0]:
@@ -37,4 +43,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), links

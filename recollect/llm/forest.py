@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import joined
 from .textkit import settle
 from .vectors import LAST, matrix, vectors
 
@@ -118,10 +118,11 @@ def cells(rows: DataFrame, config: Forest) -> DataFrame:
 
 
 def near_duplicates(table: DataFrame, config: Forest = Forest()) -> DataFrame:
-    """Groups of near copies: (vec_id, group_id, group_size, keep), one row for each distinct vec_id and vector.
+    """Groups of near copies: (vec_id, group_id, group_size, n_links, keep), one row for each distinct vec_id and vector.
 
     group_id is the vec_id of the group's kept vector: the least id, nulls last. Groups are joined
-    pairwise, so a chain of near copies is one group. Vectors that are null, empty, of length zero or not
+    pairwise, so a chain of near copies is one group. n_links counts the different vectors its own was
+    linked to; a leaf links what it holds by a spanning forest, so these aren't all pairs that match. Vectors that are null, empty, of length zero or not
     finite are groups of their own and kept; vectors of different dimensions never match. Rows repeated
     in vec_id and vector are one; of rows with one vec_id but different vectors each has its row. An
     empty table gives an empty result; other columns are ignored.
@@ -141,11 +142,11 @@ def near_duplicates(table: DataFrame, config: Forest = Forest()) -> DataFrame:
 
     placed = cells(single.select("width", "v", "e"), config).withColumn("h", F.xxhash64("e"))
     found = placed.groupBy("width", "tree", "cell").applyInArrow(grow, "uv long, uh long, vv long, vh long")
-    roots = components(found.select(F.struct(F.col("uv").alias("v"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vv").alias("v"), F.col("vh").alias("h")).alias("v")))
-    grouped = single.select("h", "e", "n", node.alias("node")).join(roots, "node", "left").select("h", "e", "n", F.coalesce("root", "node").alias("root"))
+    roots, links = joined(found.select(F.struct(F.col("uv").alias("v"), F.col("uh").alias("h")).alias("u"), F.struct(F.col("vv").alias("v"), F.col("vh").alias("h")).alias("v")))
+    grouped = single.select("h", "e", "n", node.alias("node")).join(roots.join(links, "node"), "node", "left").select("h", "e", "n", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     grouped = grouped.join(grouped.groupBy("root").agg(F.sum("n").alias("size")), "root")
-    told = rows.join(grouped, ["h", "e"]).select("v", F.col("root.v").alias("g"), "size", ((F.col("v") == F.col("root.v")) & (F.col("h") == F.col("root.h"))).alias("keep"))
+    told = rows.join(grouped, ["h", "e"]).select("v", F.col("root.v").alias("g"), "size", "n_links", ((F.col("v") == F.col("root.v")) & (F.col("h") == F.col("root.h"))).alias("keep"))
     others = raw.join(rows.select("v", "e"), (raw["v"] == rows["v"]) & raw["e"].eqNullSafe(rows["e"]), "left_anti").distinct()
-    told = told.unionByName(others.select("v", F.col("v").alias("g"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("keep")))
+    told = told.unionByName(others.select("v", F.col("v").alias("g"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("keep")))
     name = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return told.select(name("v").alias("vec_id"), name("g").alias("group_id"), F.col("size").alias("group_size"), "keep")
+    return told.select(name("v").alias("vec_id"), name("g").alias("group_id"), F.col("size").alias("group_size"), "n_links", "keep")

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import joined
 from .textkit import FOLDED_HASH, NOT_ALNUM, U64, Words, binary, int_lists, longs, mix, settle, slices, text_key
 
 LAST = (1 << 63) - 1
@@ -182,12 +182,14 @@ def bucket_edges(config: MinHash):
 
 
 def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
-    """Groups of near copies: (doc_id, group_id, group_size, keep, n_rows, text_hash).
+    """Groups of near copies: (doc_id, group_id, group_size, n_links, keep, n_rows, text_hash).
 
     One row per distinct document, that is per pair of doc_id and text; n_rows counts the input rows it
     stands for. group_id is the doc_id of the group's kept document: the least doc_id, nulls last, then
-    the least text hash. A null, empty or wordless text is a group of its own and kept. A null doc_id
-    stays null. An empty table gives an empty result; columns but doc_id and text are ignored.
+    the least text hash. n_links counts the different signatures its own was linked to: a bucket links
+    its rows to its head, and to each other where they don't match it, so links tell why a document is
+    in its group and aren't all pairs that match; copies of one text have the links of that text. A null,
+    empty or wordless text is a group of its own without links and kept. A null doc_id stays null. An empty table gives an empty result; columns but doc_id and text are ignored.
     """
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text_key().alias("t"), F.col("text").cast("string").alias("text"))
     signed = settle(keyed.mapInArrow(signature_rows(config), "d long, t long, sig binary, bands array<long>, same long"))
@@ -196,17 +198,18 @@ def near_duplicates(docs: DataFrame, config: MinHash = MinHash()) -> DataFrame:
     met = banded.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("c > 1").select("key", "d", "t")
     met = met.join(reps.select("node.d", "node.t", "sig"), ["d", "t"]).select("key", "d", "t", "sig")  # signatures travel for those only that met another
     found = met.repartition("key").sortWithinPartitions("key", "d", "t").mapInArrow(bucket_edges(config), "ud long, ut long, vd long, vt long")
-    roots = components(found.select(F.struct(F.col("ud").alias("d"), F.col("ut").alias("t")).alias("u"), F.struct(F.col("vd").alias("d"), F.col("vt").alias("t")).alias("v")))
+    roots, links = joined(found.select(F.struct(F.col("ud").alias("d"), F.col("ut").alias("t")).alias("u"), F.struct(F.col("vd").alias("d"), F.col("vt").alias("t")).alias("v")))
     rows = signed.groupBy("d", "t", "sig", "same").agg(F.count(F.lit(1)).alias("n_rows"))
     per_sig = rows.filter("sig is not null").groupBy("sig", "same").agg(F.min(F.struct("d", "t")).alias("node"), F.count(F.lit(1)).alias("n"))
-    per_sig = per_sig.join(roots, "node", "left").select("sig", "same", "n", F.coalesce("root", "node").alias("root"))
+    per_sig = per_sig.join(roots.join(links, "node"), "node", "left").select("sig", "same", "n", F.coalesce("root", "node").alias("root"), "n_links")
     sizes = per_sig.groupBy("root").agg(F.sum("n").alias("group_size"))
-    per_sig = per_sig.join(sizes, "root").select("sig", "same", "root", "group_size")
+    per_sig = per_sig.join(sizes, "root").select("sig", "same", "root", "group_size", "n_links")
     own = F.struct("d", "t")
     root = F.coalesce(F.col("root"), own)
     doc = lambda c: F.when(c != LAST, c)
     return rows.join(per_sig, ["sig", "same"], "left").select(
-        doc(F.col("d")).alias("doc_id"), doc(root["d"]).alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), (root == own).alias("keep"), "n_rows", F.col("t").alias("text_hash")
+        doc(F.col("d")).alias("doc_id"), doc(root["d"]).alias("group_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), (root == own).alias("keep"), "n_rows", F.col("t").alias("text_hash"),
     )
 
 

@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from recollect.llm import forest, minhash, substring
-from recollect.llm.components import components
+from recollect.llm.components import components, joined
 from recollect.llm.substring import Repeats
 
 
@@ -40,7 +40,9 @@ def test_components(spark):
     real = [(a, b) for a, b in edges if b is not None and a != b]
     want = grouped(real, {x for e in real for x in e})
     assert got == want
-    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    degree = collections.Counter(x for e in {(min(e), max(e)) for e in real} for x in e)
+    assert {r["node"]: r["n_links"] for r in joined(spark.createDataFrame(edges, "u long, v long"))[1].collect()} == degree
+    assert all(x.count() == 0 for x in joined(spark.createDataFrame([], "u long, v long")))
 
 
 def near(text, n, seed):
@@ -58,8 +60,13 @@ def test_minhash_against_brute_force(table):
             rows.append((n, base if j == 0 else near(base, (3 * j * len(base.split())) // 100, 100 * k + j)))
             n += 1
     rows += [(n + i, rows[20][1]) for i in range(30)]  # exact copies
-    got = {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(table(rows)).collect()}
+    out = minhash.near_duplicates(table(rows)).collect()
+    got = {r["doc_id"]: r["group_id"] for r in out}
     sets = {i: shingles(t) for i, t in rows}
+    texts = collections.defaultdict(set)
+    for r in out:
+        texts[r["group_id"]].add(frozenset(sets[r["doc_id"]]))
+    assert all((r["n_links"] > 0) == (len(texts[r["group_id"]]) > 1) and r["n_links"] < len(texts[r["group_id"]]) for r in out)
     sure = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.6]
     assert np.mean([got[a] == got[b] for a, b in sure]) == 1.0
     likely = grouped([(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.3], sets)
@@ -246,7 +253,7 @@ def test_forest_table(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1.0, None])]
     df = spark.createDataFrame([(*r, "q") for r in rows], "vec_id long, embedding array<double>, h string")
     got = sorted((tuple(r) for r in forest.near_duplicates(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[2]))
-    assert got == [(1, 1, 1, True), (1, 1, 3, True), (2, 1, 3, False), *[(i, i, 1, True) for i in (3, 4, 5, 6, 7, 8, 9)], (None, 1, 3, False)]
+    assert got == [(1, 1, 1, 0, True), (1, 1, 3, 1, True), (2, 1, 3, 1, False), *[(i, i, 1, 0, True) for i in (3, 4, 5, 6, 7, 8, 9)], (None, 1, 3, 1, False)]
     many = spark.range(700).selectExpr("id as vec_id", "array(1.0d, 2.0d) as embedding")
     assert {(r["group_id"], r["group_size"]) for r in forest.near_duplicates(many, forest.Forest(cell=50, leaf=8)).collect()} == {(0, 700)}
     assert forest.near_duplicates(df.limit(0)).count() == 0
