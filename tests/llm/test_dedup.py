@@ -257,3 +257,57 @@ def test_forest_table(spark):
     many = spark.range(700).selectExpr("id as vec_id", "array(1.0d, 2.0d) as embedding")
     assert {(r["group_id"], r["group_size"]) for r in forest.near_duplicates(many, forest.Forest(cell=50, leaf=8)).collect()} == {(0, 700)}
     assert forest.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_forest_of_short_floats_in_cells(spark, clouds):
+    """More vectors of 32-bit floats than one task takes, and trees that take turns."""
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(clouds)], "vec_id long, embedding array<float>")
+    config = forest.Forest(leaf=32, cell=500, sample=1000)
+    got = {r["vec_id"]: r["group_id"] for r in forest.near_duplicates(df, config).collect()}
+    turns = {r["vec_id"]: r["group_id"] for r in forest.near_duplicates(df, forest.Forest(leaf=32, cell=500, sample=1000, round_bytes=2_000_000)).collect()}
+    unit = clouds.astype(np.float32).astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    pairs = np.argwhere(np.triu(unit @ unit.T >= config.threshold, 1))
+    assert len(got) == len(clouds) and np.mean([got[a] == got[b] for a, b in pairs]) >= 0.97
+    whole = grouped([tuple(p) for p in pairs.tolist()], range(len(clouds)))
+    assert all(whole[a] == whole[g] for a, g in got.items())
+    assert got == turns
+
+
+def test_forest_crowd_of_one_direction(spark):
+    """Vectors that no direction tells apart fill many cells and are one group still; others stay apart."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.outer(rng.uniform(0.5, 2, 1500), rng.standard_normal(16)), rng.standard_normal((500, 16))])
+    config, h = forest.Forest(leaf=16, cell=200), rng.integers(-(1 << 62), 1 << 62, 2000)
+    top = forest.Top(forest.unit(x), h, forest.depth_of(2000, 16, config), 0, config)
+    cell, at = top.cells(forest.unit(x), h)
+    assert len(np.unique(at)) == 2000 and np.unique(cell, return_counts=True)[1].max() <= 200
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["group_id"], r["group_size"]) for r in forest.near_duplicates(df, config).collect()}
+    assert {got[i] for i in range(1500)} == {(0, 1500)} and all(got[i] == (i, 1) for i in range(1500, 2000))
+
+
+def test_forest_links_are_pairs_that_match(spark):
+    df = spark.createDataFrame([(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate((0.0, 0.3, 0.6, 0.9))], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["group_id"], r["n_links"]) for r in forest.near_duplicates(df).collect()}  # a chain; cos 0.6 is 0.83
+    assert got == {0: (0, 1), 1: (0, 2), 2: (0, 2), 3: (0, 1)}
+
+
+def test_forest_vectors_of_one_hash(spark):
+    """Different vectors with the same 64-bit hash keep their own groups."""
+    m = (1 << 64) - 1
+    p1, p2, p5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x27D4EB2F165667C5
+    turn = lambda x, r: ((x << r) | (x >> (64 - r))) & m
+    bits = lambda x: int(np.float64(x).view(np.uint64))
+    start = [r[0] & m for r in spark.range(1, 40).selectExpr("xxhash64(array(cast(id as double)))").collect()]
+    k = turn(bits(1.5) * p2 & m, 31) * p1 & m
+    for i, s in enumerate(start[1:], 2):  # second numbers that make up for another first one
+        want = (k ^ ((start[0] + p5 + 8) & m) ^ ((s + p5 + 8) & m)) * pow(p1, -1, 1 << 64) & m
+        other = float(np.uint64(turn(want, 33) * pow(p2, -1, 1 << 64) & m).view(np.float64))
+        if 1e-90 < abs(other) < 1e90:
+            break
+    df = spark.createDataFrame([(1, [1.0, 1.5]), (2, [float(i), other]), (3, [1.0, 1.5])], "vec_id long, embedding array<double>")
+    assert len({r[0] for r in df.selectExpr("xxhash64(embedding)").collect()}) == 1
+    same = abs(np.dot([1.0, 1.5], [i, other])) / np.hypot(1, 1.5) / np.hypot(i, other) >= 0.95
+    assert not same
+    assert sorted(map(tuple, forest.near_duplicates(df).collect())) == [(1, 1, 2, 0, True), (2, 2, 1, 0, True), (3, 1, 2, 0, False)]
