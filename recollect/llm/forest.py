@@ -78,8 +78,11 @@ def leaf_edges(x: np.ndarray, config: Forest, key: tuple[int, ...]) -> np.ndarra
     Of a leaf all pairs are compared, in 32 bits with a margin for their error and what passes again in 64; a
     spanning forest of those found is kept, so that a crowd gives no square of edges.
     """
-    norm = np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-    short = (x / norm).astype(np.float32)
+    norm, short = np.empty((len(x), 1)), np.empty(x.shape, np.float32)
+    for i in range(0, len(x), 4096):  # no second table in 64 bits
+        part = x[i : i + 4096].astype(np.float64)
+        norm[i : i + 4096] = np.linalg.norm(part, axis=1, keepdims=True)
+        short[i : i + 4096] = part / norm[i : i + 4096]
     floor = np.float32(config.threshold - 1e-6 * (x.shape[1] + 10))
     found = []
     for at in leaves(short, np.random.default_rng([abs(k) for k in key]), config):
