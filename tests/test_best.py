@@ -70,3 +70,17 @@ def test_patterns_in_odd_places(spark):
     assert told[0].n == ["3.14.1", "12"] and told[1].n == ["12"]
     assert (told[0].s.negated, told[0].s.done) == (True, False) and (told[1].s.negated, told[1].s.done) == (True, True)
     assert told[0].t.endswith("y") and told[1].t.endswith("knot")
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_nearest_set_equals_all_pairs(spark, monkeypatch, small):
+    if small:
+        for name, n in {"BLOCK": 50, "CHUNK": 40, "LEAST": 20, "BUCKET": 30}.items():
+            monkeypatch.setattr(best, name, n)
+    pick = random.Random(4)
+    sets = [(i, f"g{i % 4 % 3}", sorted({int(pick.paretovariate(0.4)) for _ in range(pick.randint(1, 30))})) for i in range(300)]
+    frame = spark.createDataFrame([(i, g, k, i % 5 > 0) for i, g, k in sets], "id long, g string, keys array<long>, asks boolean")
+    found = best.nearest(frame, "g")
+    got = {r.query_id: r.score for r in found.groupBy("query_id").agg(F.max("score").alias("score")).collect()}
+    share = lambda a, b: len(set(a) & set(b)) / max(len(a), len(b))
+    assert got == {i: max(share(k, l) for j, h, l in sets if h == g and j != i) for i, g, k in sets if i % 5 > 0}
